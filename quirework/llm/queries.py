@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from quirework.llm import tokens
+from quirework.llm import pieces, tokens
 
 
 def queries() -> dict:
     return {
+        "p4_found": pieces.p4_found,
+        "p4_pieces": pieces.p4_pieces,
         "p7_ids": tokens.p7_ids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": pieces.P4_FOUND_SQL,
+    }
