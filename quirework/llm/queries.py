@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from quirework.llm import pieces, tokens
+from quirework.llm import leaks, pieces, splits, tokens
 
 
 def queries() -> dict:
     return {
+        "p1_found": splits.p1_found,
+        "p1_splits": splits.p1_splits,
         "p4_found": pieces.p4_found,
         "p4_pieces": pieces.p4_pieces,
         "p7_ids": tokens.p7_ids,
+        "p8_found": leaks.p8_found,
+        "p8_items": leaks.p8_items,
+        "p8_clean": leaks.p8_clean,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": pieces.P4_FOUND_SQL,
+        "p8_found": leaks.P8_FOUND_SQL,
+        "p8_clean": leaks.P8_CLEAN_SQL,
     }
