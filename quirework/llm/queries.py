@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from quirework.llm import leaks, pieces, splits, tokens
+from quirework.llm import leaks, neardup, overlaps, pieces, splits, tokens
 
 
 def queries() -> dict:
     return {
         "p1_found": splits.p1_found,
         "p1_splits": splits.p1_splits,
+        "p2_found": neardup.p2_found,
+        "p2_classes": neardup.p2_classes,
+        "p3_found": overlaps.p3_found,
+        "p3_report": overlaps.p3_report,
         "p4_found": pieces.p4_found,
         "p4_pieces": pieces.p4_pieces,
         "p7_ids": tokens.p7_ids,
@@ -20,6 +24,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": neardup.P2_FOUND_SQL,
+        "p3_found": overlaps.P3_FOUND_SQL,
+        "p3_report": overlaps.P3_REPORT_SQL,
         "p4_found": pieces.P4_FOUND_SQL,
         "p8_found": leaks.P8_FOUND_SQL,
         "p8_clean": leaks.P8_CLEAN_SQL,
