@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirework.llm import leaks, neardup, overlaps, pieces, splits, tokens
+from quirework.llm import defects, leaks, neardup, overlaps, pieces, splits, tokens
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "p3_report": overlaps.p3_report,
         "p4_found": pieces.p4_found,
         "p4_pieces": pieces.p4_pieces,
+        "p5_found": defects.p5_found,
         "p7_ids": tokens.p7_ids,
         "p8_found": leaks.p8_found,
         "p8_items": leaks.p8_items,
