@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import words
+from quirework.llm.common import NOT_WORD
 from quirework.session import cut_lineage
 
-#: Cells of the frequency sketch; its size is fixed, whatever the corpus.
-CELLS = 1 << 17
+#: Cells of the frequency sketch, and cells of a block of it. Its size is fixed (16 MB), whatever the corpus; what
+#: shares a cell by chance shifts all counts alike, so that frequent tokens stand out at every size.
+CELLS = 1 << 22
+BLOCK = 1 << 13
 #: Sets of more tokens use single frequent tokens as keys instead of combinations.
 COMBINED_UP_TO = 80
 #: Set keys that a task remembers in order to send copies of a set only once.
@@ -69,8 +71,13 @@ class Plan:
         return n - self.overlap(n, n) + depth
 
 
+#: The hash of the empty string, which splitting leaves at the ends of a text.
+EMPTY_WORD = -7444071767201028348
+
+
 def hashed_words(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
+    """Hashes of the words of a text, and ``EMPTY_WORD`` where it begins or ends with something else."""
+    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: F.xxhash64(w))
 
 
 class Sets:
@@ -84,6 +91,8 @@ class Sets:
         values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
         size = np.diff(offsets)
         owner = np.repeat(np.arange(len(size)), size)
+        word = values != EMPTY_WORD
+        values, owner = values[word], owner[word]
         token = mix(values.view(np.uint64))
         for k in range(1, plan.shingle):
             shifted = mix(values[k:].view(np.uint64), k)
@@ -113,30 +122,37 @@ def _sketch(rows: DataFrame, plan: Plan) -> tuple[np.ndarray, int]:
     """The rarity class of each cell, and the class up to which a token is rare. All rows are counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(CELLS, np.uint32)
         for batch in batches:
-            total += np.bincount(Sets(batch, plan, None).cell, minlength=CELLS)
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], ["cell", "n"])
-
-    counted = rows.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(CELLS, np.int64)
-    total[counted["cell"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+            total += np.bincount(Sets(batch, plan, None).cell, minlength=CELLS).astype(np.uint32)
+        blocks = total.reshape(-1, BLOCK)
+        some = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([blocks[k].tobytes() for k in some], pa.binary())], ["block", "cells"])
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, np.uint64)
+        for cells in table.column("cells"):
+            total += np.frombuffer(cells.as_py(), np.uint32)
+        packed = np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([packed], pa.binary())})
+
+    schema = "block int, cells binary"
+    total = np.zeros((CELLS // BLOCK, BLOCK), np.int64)
+    for row in rows.mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).collect():
+        total[row["block"]] = np.frombuffer(row["cells"], np.uint32)
+    total = total.ravel()
     rare = 4 * int(np.median(total[total > 0])) + 16 if (total > 0).any() else 0
-    scale = lambda n: np.minimum(32767, 256 * np.log2(1 + n)).astype(np.int64)
+    scale = lambda n: np.minimum(32767, 256 * np.log2(1 + n)).astype(np.int16)
     return scale(total), int(scale(np.array([rare]))[0])
 
 
-def _keys(sets: Sets, plan: Plan, rare_class: int, fresh: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _keys(sets: Sets, plan: Plan, rare: np.ndarray, fresh: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """``role, join key, set, position`` of the prefixes. Roles: 0 rare, 1 frequent in the prefix of a longer
     set, 2 frequent in the prefix of a shorter set."""
     n = sets.size[sets.owner]
     use = fresh[sets.owner]
-    rare = (sets.token >> np.uint64(48)).astype(np.int64) <= rare_class
     mixed = n * plan.threshold.denominator > COMBINED_UP_TO * plan.threshold.numerator
-    small = n <= 2
-    upto = plan.long_prefix(n, np.where(n <= COMBINED_UP_TO, plan.depth, 1))
-    take = use & (rare | small) & (sets.position <= upto)
+    take = use & (rare | (n <= 2)) & (sets.position <= plan.long_prefix(n, np.where(n <= COMBINED_UP_TO, plan.depth, 1)))
     yield 0, sets.token[take], sets.owner[take], sets.position[take]
     for role, prefix in ((1, plan.long_prefix), (2, plan.short_prefix)):
         single = use & ~rare & (sets.position <= prefix(n, 1))
@@ -153,7 +169,20 @@ def _keys(sets: Sets, plan: Plan, rare_class: int, fresh: np.ndarray) -> Iterato
                 yield role, mix(mix(token[:-gap][same], 5) + token[gap:][same], 9), owner[gap:][same], position[gap:][same]
 
 
+def _signature(sets: Sets, rare: np.ndarray) -> np.ndarray:
+    """64 bits of a sample of each set's frequent tokens: one of two tokens, chosen and placed by its hash."""
+    code = mix(sets.token, 21)
+    at = np.flatnonzero(~rare & (code & np.uint64(1) == 0))
+    out = np.zeros(len(sets.size), np.uint64)
+    if len(at):
+        owner = sets.owner[at]
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        out[owner[first]] = np.bitwise_or.reduceat(np.uint64(1) << ((code[at] >> np.uint64(1)) & np.uint64(63)), first)
+    return out.view(np.int64)
+
+
 def _prefix_rows(rows: DataFrame, plan: Plan, classes, rare_class: int) -> DataFrame:
+    """One row for each join key of each set: its set, size, frequent tokens, position and signature."""
     sent = rows.sparkSession.sparkContext.broadcast(classes)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,49 +196,53 @@ def _prefix_rows(rows: DataFrame, plan: Plan, classes, rare_class: int) -> DataF
                     seen.add(pair)
             if len(seen) > REMEMBERED:
                 seen.clear()
-            for role, key, owner, position in _keys(sets, plan, rare_class, fresh):
+            rare = (sets.token >> np.uint64(48)).astype(np.int64) <= rare_class
+            frequent = np.bincount(sets.owner, ~rare, minlength=len(sets.size)).astype(np.int32)
+            signature = _signature(sets, rare)
+            for role, key, owner, position in _keys(sets, plan, rare, fresh):
                 if len(key):
                     columns = [
-                        pa.array(np.full(len(key), role, np.int8)), pa.array(sets.side[owner].astype(np.int8)), pa.array((key & LOW48).view(np.int64)),
-                        pa.array(sets.key[owner]), pa.array(sets.size[owner].astype(np.int32)), pa.array(position.astype(np.int32)),
+                        pa.array(np.full(len(key), role, np.int8)), pa.array(sets.side[owner].astype(np.int8)), pa.array((key & LOW48).view(np.int64)), pa.array(sets.key[owner]),
+                        pa.array(sets.size[owner].astype(np.int32)), pa.array(position.astype(np.int32)), pa.array(frequent[owner] * np.int32(role > 0)), pa.array(signature[owner] * np.int64(role > 0)),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, ["role", "side", "key", "set", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays(columns, ["role", "side", "key", "set", "n", "pos", "freq", "sig"])
 
-    return rows.mapInArrow(emit, "role byte, side byte, key long, set long, n int, pos int")
+    return rows.mapInArrow(emit, "role byte, side byte, key long, set long, n int, pos int, freq int, sig long")
 
 
 def _candidates(prefixes: DataFrame, plan: Plan, two_sides: bool) -> DataFrame:
-    """``a, b``: distinct pairs of set keys that pass prefix, length and position filter. With two sides ``a`` is
-    of side 0 and ``b`` of side 1, else ``a < b``."""
+    """``a, b``: distinct pairs of set keys that pass prefix, length, position and signature filter. With two
+    sides ``a`` is of side 0 and ``b`` of side 1, else ``a < b``.
+
+    Pairs that share a rare token meet at it (role 0). All others share frequent tokens only, so that few of
+    the frequent tokens of either may be missing in the other: more missing bits of a signature rule a pair out.
+    """
     num, den = plan.threshold.numerator, plan.threshold.denominator
-    found = []
+    # One exchange for all roles: the random term keeps their filters above it, so that each part reuses it.
+    shuffled = prefixes.repartition("key").withColumn("part", F.col("role") * 2 + F.col("side") + (F.rand(1) * 0).cast("int"))
 
-    def meet(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-        x, y = left.alias("x"), right.alias("y")
-        least = f"((({num} * (x.n + y.n) + {num + den - 1}) div {num + den}))"
+    def part(role: int, side: int) -> DataFrame:
+        """Copies of a set that several tasks sent become one here, on the partitioning that the join needs."""
+        return shuffled.where(F.col("part") == role * 2 + side).dropDuplicates(["key", "set"]).select("key", "set", "n", "pos", "freq", "sig")
+
+    def meet(left: DataFrame, right: DataFrame, *, longer: bool, frequent: bool) -> DataFrame:
+        least = f"((num * (x.n + y.n) + {num + den - 1}) div {num + den})".replace("num", str(num))
         depth = f"CASE WHEN x.n > {COMBINED_UP_TO} OR y.n > {COMBINED_UP_TO} THEN 1 ELSE {plan.depth} END"
         near = f"x.n * {num} <= y.n * {den} AND y.n * {num} <= x.n * {den} AND least(x.n - x.pos, y.n - y.pos) + {depth} >= {least} AND x.set <> y.set"
-        if ordered:
+        if longer:
             near += " AND x.n >= y.n"
-        return x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr(near)).select(F.col("x.set").alias("s"), F.col("y.set").alias("t"))
+        if frequent:
+            near += f" AND bit_count(x.sig & ~y.sig) <= x.freq - {least} AND bit_count(y.sig & ~x.sig) <= y.freq - {least}"
+        else:  # always true (rare rows have 0 here): it only keeps the columns, and with them the exchange, the same
+            near += " AND x.sig <= y.freq AND y.sig <= x.freq"
+        joined = left.alias("x").join(right.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(near))
+        return joined.select(F.col("x.set").alias("s"), F.col("y.set").alias("t"))
 
-    def part(role: int, side: int) -> DataFrame:
-        """Copies of a set that several tasks sent become one here, on the partitioning that the join needs."""
-        rows = prefixes.where((F.col("role") == role) & (F.col("side") == side)).drop("role", "side")
-        return rows.repartition("key").dropDuplicates(["key", "set"])
-
-    if two_sides:
-        found.append(meet(part(0, 0), part(0, 1), False))
-        found.append(meet(part(1, 0), part(2, 1), True))
-        found.append(meet(part(1, 1), part(2, 0), True).select(F.col("t").alias("s"), F.col("s").alias("t")))
-    else:
-        found.append(meet(part(0, 0), part(0, 0), True))
-        found.append(meet(part(1, 0), part(2, 0), True))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
     if two_sides:
+        swapped = meet(part(1, 1), part(2, 0), longer=True, frequent=True).select(F.col("t").alias("s"), F.col("s").alias("t"))
+        pairs = meet(part(0, 0), part(0, 1), longer=False, frequent=False).unionByName(meet(part(1, 0), part(2, 1), longer=True, frequent=True)).unionByName(swapped)
         return pairs.select(F.col("s").alias("a"), F.col("t").alias("b")).distinct()
+    pairs = meet(part(0, 0), part(0, 0), longer=True, frequent=False).unionByName(meet(part(1, 0), part(2, 0), longer=True, frequent=True))
     return pairs.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
 
 
