@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirework.llm import defects, leaks, neardup, overlaps, pieces, splits, tokens
+from quirework.llm import defects, leaks, neardup, overlaps, pieces, pii, splits, tokens
 
 
 def queries() -> dict:
@@ -16,6 +16,8 @@ def queries() -> dict:
         "p4_found": pieces.p4_found,
         "p4_pieces": pieces.p4_pieces,
         "p5_found": defects.p5_found,
+        "p6_found": pii.p6_found,
+        "p6_redacted": pii.p6_redacted,
         "p7_ids": tokens.p7_ids,
         "p8_found": leaks.p8_found,
         "p8_items": leaks.p8_items,
