@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirework.llm import defects, leaks, neardup, overlaps, pieces, pii, splits, tokens
+from quirework.llm import defects, leaks, neardup, overlaps, pieces, pii, sentences, splits, tokens
 
 
 def queries() -> dict:
@@ -22,6 +22,7 @@ def queries() -> dict:
         "p8_found": leaks.p8_found,
         "p8_items": leaks.p8_items,
         "p8_clean": leaks.p8_clean,
+        "p9_found": sentences.p9_found,
     }
 
 

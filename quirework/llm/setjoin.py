@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.common import NOT_WORD
-from quirework.session import cut_lineage
+from quirework.session import cut_lineage, free_shuffles
 
 #: Cells of the frequency sketch, and cells of a block of it. Its size is fixed (16 MB), whatever the corpus; what
 #: shares a cell by chance shifts all counts alike, so that frequent tokens stand out at every size.
@@ -125,14 +125,14 @@ def _sketch(rows: DataFrame, plan: Plan) -> tuple[np.ndarray, int]:
         total = np.zeros(CELLS, np.uint32)
         for batch in batches:
             total += np.bincount(Sets(batch, plan, None).cell, minlength=CELLS).astype(np.uint32)
-        blocks = total.reshape(-1, BLOCK)
+        blocks = np.minimum(total, 0xFFFF).astype(np.uint16).reshape(-1, BLOCK)
         some = np.flatnonzero(blocks.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([blocks[k].tobytes() for k in some], pa.binary())], ["block", "cells"])
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.uint64)
         for cells in table.column("cells"):
-            total += np.frombuffer(cells.as_py(), np.uint32)
+            total += np.frombuffer(cells.as_py(), np.uint16)
         packed = np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([packed], pa.binary())})
 
@@ -169,16 +169,19 @@ def _keys(sets: Sets, plan: Plan, rare: np.ndarray, fresh: np.ndarray) -> Iterat
                 yield role, mix(mix(token[:-gap][same], 5) + token[gap:][same], 9), owner[gap:][same], position[gap:][same]
 
 
-def _signature(sets: Sets, rare: np.ndarray) -> np.ndarray:
-    """64 bits of a sample of each set's frequent tokens: one of two tokens, chosen and placed by its hash."""
+def _signatures(sets: Sets, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits each of two halves of each set's frequent tokens, which their hash tells apart and places."""
     code = mix(sets.token, 21)
-    at = np.flatnonzero(~rare & (code & np.uint64(1) == 0))
-    out = np.zeros(len(sets.size), np.uint64)
-    if len(at):
-        owner = sets.owner[at]
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        out[owner[first]] = np.bitwise_or.reduceat(np.uint64(1) << ((code[at] >> np.uint64(1)) & np.uint64(63)), first)
-    return out.view(np.int64)
+    found = []
+    for half in (0, 1):
+        at = np.flatnonzero(~rare & (code & np.uint64(1) == half))
+        out = np.zeros(len(sets.size), np.uint64)
+        if len(at):
+            owner = sets.owner[at]
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            out[owner[first]] = np.bitwise_or.reduceat(np.uint64(1) << ((code[at] >> np.uint64(1)) & np.uint64(63)), first)
+        found.append(out.view(np.int64))
+    return found[0], found[1]
 
 
 def _prefix_rows(rows: DataFrame, plan: Plan, classes, rare_class: int) -> DataFrame:
@@ -198,24 +201,25 @@ def _prefix_rows(rows: DataFrame, plan: Plan, classes, rare_class: int) -> DataF
                 seen.clear()
             rare = (sets.token >> np.uint64(48)).astype(np.int64) <= rare_class
             frequent = np.bincount(sets.owner, ~rare, minlength=len(sets.size)).astype(np.int32)
-            signature = _signature(sets, rare)
+            one, two = _signatures(sets, rare)
             for role, key, owner, position in _keys(sets, plan, rare, fresh):
                 if len(key):
                     columns = [
                         pa.array(np.full(len(key), role, np.int8)), pa.array(sets.side[owner].astype(np.int8)), pa.array((key & LOW48).view(np.int64)), pa.array(sets.key[owner]),
-                        pa.array(sets.size[owner].astype(np.int32)), pa.array(position.astype(np.int32)), pa.array(frequent[owner] * np.int32(role > 0)), pa.array(signature[owner] * np.int64(role > 0)),
+                        pa.array(sets.size[owner].astype(np.int32)), pa.array(position.astype(np.int32)), pa.array(frequent[owner]), pa.array(one[owner]), pa.array(two[owner] * np.int64(role > 0)),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, ["role", "side", "key", "set", "n", "pos", "freq", "sig"])
+                    yield pa.RecordBatch.from_arrays(columns, ["role", "side", "key", "set", "n", "pos", "freq", "sig", "sig2"])
 
-    return rows.mapInArrow(emit, "role byte, side byte, key long, set long, n int, pos int, freq int, sig long")
+    return rows.mapInArrow(emit, "role byte, side byte, key long, set long, n int, pos int, freq int, sig long, sig2 long")
 
 
 def _candidates(prefixes: DataFrame, plan: Plan, two_sides: bool) -> DataFrame:
     """``a, b``: distinct pairs of set keys that pass prefix, length, position and signature filter. With two
     sides ``a`` is of side 0 and ``b`` of side 1, else ``a < b``.
 
-    Pairs that share a rare token meet at it (role 0). All others share frequent tokens only, so that few of
-    the frequent tokens of either may be missing in the other: more missing bits of a signature rule a pair out.
+    A pair shares at most as many frequent tokens as either has, less the bits of its signatures that the other
+    lacks. What is then missing to the least overlap has to be shared rare tokens: pairs that share any meet at
+    each of them (role 0), so their number is counted; all other pairs (roles 1 and 2) must miss nothing.
     """
     num, den = plan.threshold.numerator, plan.threshold.denominator
     # One exchange for all roles: the random term keeps their filters above it, so that each part reuses it.
@@ -223,27 +227,34 @@ def _candidates(prefixes: DataFrame, plan: Plan, two_sides: bool) -> DataFrame:
 
     def part(role: int, side: int) -> DataFrame:
         """Copies of a set that several tasks sent become one here, on the partitioning that the join needs."""
-        return shuffled.where(F.col("part") == role * 2 + side).dropDuplicates(["key", "set"]).select("key", "set", "n", "pos", "freq", "sig")
+        return shuffled.where(F.col("part") == role * 2 + side).dropDuplicates(["key", "set"]).select("key", "set", "n", "pos", "freq", "sig", "sig2")
+
+    least = f"((({num} * (x.n + y.n) + {num + den - 1}) div {num + den}))"
+    depth = f"(CASE WHEN x.n > {COMBINED_UP_TO} OR y.n > {COMBINED_UP_TO} THEN 1 ELSE {plan.depth} END)"
+    lacks = lambda s, t: f"({s}.freq - bit_count({s}.sig & ~{t}.sig) - bit_count({s}.sig2 & ~{t}.sig2))"
+    beyond = lambda s: f"greatest(0, {least} - {depth} - {s}.freq)"  # rare tokens after the prefix of this pair
+    need = f"{least} - least({lacks('x', 'y')}, {lacks('y', 'x')})"
 
     def meet(left: DataFrame, right: DataFrame, *, longer: bool, frequent: bool) -> DataFrame:
-        least = f"((num * (x.n + y.n) + {num + den - 1}) div {num + den})".replace("num", str(num))
-        depth = f"CASE WHEN x.n > {COMBINED_UP_TO} OR y.n > {COMBINED_UP_TO} THEN 1 ELSE {plan.depth} END"
         near = f"x.n * {num} <= y.n * {den} AND y.n * {num} <= x.n * {den} AND least(x.n - x.pos, y.n - y.pos) + {depth} >= {least} AND x.set <> y.set"
         if longer:
             near += " AND x.n >= y.n"
         if frequent:
-            near += f" AND bit_count(x.sig & ~y.sig) <= x.freq - {least} AND bit_count(y.sig & ~x.sig) <= y.freq - {least}"
-        else:  # always true (rare rows have 0 here): it only keeps the columns, and with them the exchange, the same
-            near += " AND x.sig <= y.freq AND y.sig <= x.freq"
+            near += f" AND {need} <= 0"
         joined = left.alias("x").join(right.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(near))
-        return joined.select(F.col("x.set").alias("s"), F.col("y.set").alias("t"))
+        asked = "0" if frequent else f"CAST(least({need} - {beyond('x')} - {beyond('y')}, 1000000) AS INT)"
+        return joined.select(F.col("x.set").alias("s"), F.col("y.set").alias("t"), F.expr(asked).alias("need"))
 
     if two_sides:
-        swapped = meet(part(1, 1), part(2, 0), longer=True, frequent=True).select(F.col("t").alias("s"), F.col("s").alias("t"))
+        swapped = meet(part(1, 1), part(2, 0), longer=True, frequent=True).select(F.col("t").alias("s"), F.col("s").alias("t"), "need")
         pairs = meet(part(0, 0), part(0, 1), longer=False, frequent=False).unionByName(meet(part(1, 0), part(2, 1), longer=True, frequent=True)).unionByName(swapped)
-        return pairs.select(F.col("s").alias("a"), F.col("t").alias("b")).distinct()
-    pairs = meet(part(0, 0), part(0, 0), longer=True, frequent=False).unionByName(meet(part(1, 0), part(2, 0), longer=True, frequent=True))
-    return pairs.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+        ends = [F.col("s").alias("a"), F.col("t").alias("b")]
+    else:
+        pairs = meet(part(0, 0), part(0, 0), longer=True, frequent=False).unionByName(meet(part(1, 0), part(2, 0), longer=True, frequent=True))
+        ends = [F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")]
+    # Sets of equal size meet twice at a token, which only makes the count a weaker bound.
+    counted = pairs.groupBy(*ends).agg(F.count("*").alias("met"), F.min("need").alias("need"))
+    return counted.where("met >= need").select("a", "b")
 
 
 def _members(rows: DataFrame, plan: Plan, classes, wanted: np.ndarray | None) -> DataFrame:
@@ -332,6 +343,7 @@ def similar_sets(rows: DataFrame, plan: Plan, *, two_sides: bool = False) -> tup
     """
     classes, rare_class = _sketch(rows, plan)
     candidates = cut_lineage(_candidates(_prefix_rows(rows, plan, classes, rare_class), plan, two_sides))
+    free_shuffles(rows.sparkSession)
     ends = candidates.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     few = ends.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     wanted = np.sort(ends.toPandas()["set"].to_numpy(np.int64)) if few else None
