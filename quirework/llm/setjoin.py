@@ -8,7 +8,8 @@ and the (much shorter) prefix that a shorter set needs. This keeps frequent toke
 with everything, and loses nothing: any token order and any rarity bound give the same result.
 
 Rows with equal sets are joined once, through the key of their set; a group of copies, however large, is
-one entity until the caller expands it. Tokens and set keys are 64-bit hashes (48 bits of a token).
+one entity until the caller expands it. Set keys are 64-bit hashes; tokens are compared by 48
+bits of their hash in the search and by 40 within a candidate pair.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ REMEMBERED = 1_000_000
 #: Candidate set keys that are broadcast (8 bytes each); beyond it sets and candidates are shuffled.
 BROADCAST_KEYS = 2_000_000
 
+#: Bytes of a token that go into verification.
+PACKED = 5
+
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -101,16 +105,16 @@ class Sets:
             last = plan.shingle - 1
             whole = owner[:-last] == owner[last:] if len(owner) > last else np.zeros(0, bool)
             token, owner = token[: len(whole)][whole], owner[: len(whole)][whole]
-        self.cell = (token % np.uint64(CELLS)).astype(np.int64)
-        token = token & LOW48
+        token &= LOW48
         if classes is not None:
-            token = token | classes[self.cell].astype(np.uint64) << np.uint64(48)
-        order = np.lexsort((token, owner))
-        token, owner = token[order], owner[order]
+            token |= classes[(token % np.uint64(CELLS)).astype(np.int64)].astype(np.uint64) << np.uint64(48)
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))]).tolist()
+        for a, b in zip(bounds, bounds[1:]):  # many small sorts in place are faster than one of everything
+            token[a:b].sort()
         first = np.ones(len(token), bool)
         first[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-        self.cell = self.cell[order][first]
         self.token, self.owner = token[first], owner[first]
+        self.cell = (self.token % np.uint64(CELLS)).astype(np.int64)
         self.size = np.bincount(self.owner, minlength=len(size))
         self.start = np.cumsum(self.size) - self.size
         self.position = np.arange(len(self.token)) - np.repeat(self.start, self.size) + 1
@@ -279,56 +283,57 @@ def _members(rows: DataFrame, plan: Plan, classes, wanted: np.ndarray | None) ->
                 seen.add(int(sets.key[k]))
             if len(seen) > REMEMBERED:
                 seen.clear()
-            kept = sets.token[asked[sets.owner]].view(np.int64)
-            bounds = np.concatenate([[0], np.cumsum(np.where(asked, sets.size, 0))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(kept), mask=pa.array(~asked))
+            kept = sets.token[asked[sets.owner]].view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
+            bounds = np.concatenate([[0], np.cumsum(np.where(asked, sets.size, 0)) * PACKED]).astype(np.int32)
+            valid = np.packbits(asked, bitorder="little").tobytes()
+            lists = pa.Array.from_buffers(pa.binary(), len(asked), [pa.py_buffer(valid), pa.py_buffer(bounds.tobytes()), pa.py_buffer(kept)])
             some = pa.array(sets.size > 0)
             whole = pa.RecordBatch.from_arrays([sets.id, pa.array(sets.side.astype(np.int8)), pa.array(sets.key), lists], ["id", "side", "set", "tokens"])
             yield whole.filter(some)
 
-    return rows.mapInArrow(emit, "id long, side byte, set long, tokens array<long>")
+    return rows.mapInArrow(emit, "id long, side byte, set long, tokens binary")
 
 
 def _verify(pairs: DataFrame, plan: Plan) -> DataFrame:
-    """``a, b`` of the pairs (``a, b, x, y`` with token arrays) that reach the threshold.
+    """``a, b`` of the pairs (``a, b, x, y`` with packed tokens) that reach the threshold.
 
     Before the intersection is counted, the prefixes under each further token order have to meet.
     """
     num, den = plan.threshold.numerator, plan.threshold.denominator
 
     def flat(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        offsets = column.offsets.to_numpy().astype(np.int64)
-        size = np.diff(offsets)
-        return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64), np.repeat(np.arange(len(size)), size), size
+        """Token, row and size of a column of packed sets."""
+        size = np.fromiter((len(v) // PACKED for v in column.to_pylist()), np.int64, len(column))
+        raw = np.zeros((int(size.sum()), 8), np.uint8)
+        raw[:, :PACKED] = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PACKED)
+        return raw.view(np.uint64).ravel(), np.repeat(np.arange(len(size), dtype=np.uint64), size), size
 
     def shared(n: int, *sides: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        token, owner = (np.concatenate(z) for z in zip(*sides))
-        order = np.lexsort((token, owner))
-        token, owner = token[order], owner[order]
-        twice = (token[1:] == token[:-1]) & (owner[1:] == owner[:-1])
-        return np.bincount(owner[1:][twice], minlength=n)
+        """How many tokens the two sides of each row have in common; row and token make one sort key."""
+        key = np.concatenate([owner << np.uint64(48) | token for token, owner in sides])
+        key.sort()
+        return np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(48)).astype(np.int64), minlength=n)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, 1 << 16) for whole in batches for k in range(0, whole.num_rows, 1 << 16)):
             n = batch.num_rows
-            if not n:
-                continue
             (x, of_x, size_x), (y, of_y, size_y) = flat(batch.column(2)), flat(batch.column(3))
             least = plan.overlap(size_x, size_y)
             alive = np.ones(n, bool)
             for seed in range(1, plan.orders):
                 heads = []
                 for token, owner, size in ((x, of_x, size_x), (y, of_y, size_y)):
-                    live = alive[owner]
-                    code, own = mix(token[live], 100 + seed), owner[live]
-                    order = np.lexsort((code, own))
-                    code, own = code[order], own[order]
+                    live = alive[owner.astype(np.int64)]
+                    key = owner[live] << np.uint64(48) | mix(token[live], 100 + seed) & LOW48
+                    key.sort()
+                    own = (key >> np.uint64(48)).astype(np.int64)
                     count = np.bincount(own, minlength=n)
                     rank = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-                    head = rank <= (size - least)[own]
-                    heads.append((code[head], own[head]))
+                    head = key[rank <= (size - least)[own]]
+                    heads.append((head & LOW48, head >> np.uint64(48)))
                 alive &= shared(n, *heads) > 0
-            common = shared(n, (x[alive[of_x]], of_x[alive[of_x]]), (y[alive[of_y]], of_y[alive[of_y]]))
+            in_x, in_y = alive[of_x.astype(np.int64)], alive[of_y.astype(np.int64)]
+            common = shared(n, (x[in_x], of_x[in_x]), (y[in_y], of_y[in_y]))
             good = pa.array(alive & (common * den >= num * (size_x + size_y - common)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(good)
 
