@@ -16,7 +16,8 @@ BEFORE_WORD, AFTER_WORD = rf"(?<!{WORD})", rf"(?!{WORD})"
 
 # What is masked, in this order.
 MASKS = {
-    "email": (rf"[\p{{L}}\p{{N}}_.+\-]+@[\p{{L}}\p{{N}}_\-]+\.[\p{{L}}\p{{N}}_.\-]+", "[EMAIL]"),
+    # a run of address signs is read once, from its beginning or from where the last match ended
+    "email": (rf"(?:\G|(?<![\p{{L}}\p{{N}}_.+\-]))[\p{{L}}\p{{N}}_.+\-]++@[\p{{L}}\p{{N}}_\-]+\.[\p{{L}}\p{{N}}_.\-]+", "[EMAIL]"),
     "phone": (rf"(?U){BEFORE_WORD}\p{{Nd}}{{3}}[-.\s\x1c-\x1f]\p{{Nd}}{{3}}[-.\s\x1c-\x1f]\p{{Nd}}{{4}}{AFTER_WORD}", "[PHONE]"),
     "ssn": (rf"{BEFORE_WORD}\p{{Nd}}{{3}}-\p{{Nd}}{{2}}-\p{{Nd}}{{4}}{AFTER_WORD}", "[SSN]"),
     "aws": (rf"{BEFORE_WORD}AKIA[0-9A-Z]{{16}}{AFTER_WORD}", "[AWS_KEY]"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -64,8 +65,10 @@ def ship(spark: SparkSession) -> SparkSession:
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that a cut has made superfluous; it does so when the driver
     collects its garbage, which may otherwise come too late for the executors' disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first pass frees on one side holds objects on the other
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
