@@ -347,6 +347,7 @@ def similar_sets(rows: DataFrame, plan: Plan, *, two_sides: bool = False) -> tup
     different sets that reach the threshold (of side 0 and side 1, if there are two sides).
     """
     classes, rare_class = _sketch(rows, plan)
+    free_shuffles(rows.sparkSession)
     candidates = cut_lineage(_candidates(_prefix_rows(rows, plan, classes, rare_class), plan, two_sides))
     free_shuffles(rows.sparkSession)
     ends = candidates.select(F.explode(F.array("a", "b")).alias("set")).distinct()
@@ -361,4 +362,7 @@ def similar_sets(rows: DataFrame, plan: Plan, *, two_sides: bool = False) -> tup
     sets = sets.select("set", "tokens").dropDuplicates(["set"])
     end = lambda name, tokens: sets.select(F.col("set").alias(name), F.col("tokens").alias(tokens))
     paired = candidates.join(end("a", "x"), "a").join(end("b", "y"), "b")
-    return members.distinct(), cut_lineage(_verify(paired, plan))
+    verified = cut_lineage(_verify(paired, plan))
+    del paired, end, sets, made, ends
+    free_shuffles(rows.sparkSession)
+    return members.distinct(), verified
