@@ -189,7 +189,11 @@ def _signatures(sets: Sets, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefix_rows(rows: DataFrame, plan: Plan, classes, rare_class: int) -> DataFrame:
-    """One row for each join key of each set: its set, size, frequent tokens, position and signature."""
+    """One row for each join key of each set: its set, size, frequent tokens, position and signatures.
+
+    Keys of several tokens leave few candidates, so with them (depth over 1) rows carry less: no second signature,
+    and none where the key is a rare token. An empty signature rules nothing out.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(classes)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +214,7 @@ def _prefix_rows(rows: DataFrame, plan: Plan, classes, rare_class: int) -> DataF
                 if len(key):
                     columns = [
                         pa.array(np.full(len(key), role, np.int8)), pa.array(sets.side[owner].astype(np.int8)), pa.array((key & LOW48).view(np.int64)), pa.array(sets.key[owner]),
-                        pa.array(sets.size[owner].astype(np.int32)), pa.array(position.astype(np.int32)), pa.array(frequent[owner]), pa.array(one[owner]), pa.array(two[owner] * np.int64(role > 0)),
+                        pa.array(sets.size[owner].astype(np.int32)), pa.array(position.astype(np.int32)), pa.array(frequent[owner]), pa.array(one[owner] * np.int64(role > 0 or plan.depth == 1)), pa.array(two[owner] * np.int64(role > 0 and plan.depth == 1)),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, ["role", "side", "key", "set", "n", "pos", "freq", "sig", "sig2"])
 
