@@ -5,7 +5,9 @@ of prose lines together. In spaced scripts the possible terminators of a run for
 sentence end to the next is scored from the terminator, the word before it (abbreviations, initials, ordinals),
 the word after it, quotation marks and how the sentence began, and the best path gives the sentences. In
 scripts without spaces, text between gaps is segmented by the cheapest path through a lattice of dictionary
-words; a gap ends a sentence unless the last word before it or the first word after it says that it goes on.
+words; whether a gap ends a sentence is scored from the final particle or linking word before it, the opening
+or linking word after it and the length of both stretches. In Chinese and Japanese a gap within a line is an end
+only where a final word before it says so, alone or with an opening word after it.
 
 Defined cases: null, empty and blank texts have no sentence; a text without terminator is one sentence; white
 space around a sentence belongs to none; repeated documents count once; very long texts are read whole.
@@ -286,6 +288,13 @@ def cuts_of(text: str) -> list[Cut]:
             cuts.append(Cut(end, 1.5, True))
         else:
             cuts.append(Cut(end, 4.0))
+    if caseless and WIDE_SCRIPT.search(text):
+        for m in WIDE_GAP.finditer(text):
+            a, b = m.span()
+            k = bisect_right(opens, a) - 1
+            if not (k >= 0 and a < pairs[k][1]) and wide_gap_ends(text[max(0, a - 12) : a], text[b : b + 12]):
+                cuts.append(Cut(a, 2.5))
+        cuts.sort(key=lambda c: c.end)
     return cuts
 
 
@@ -337,12 +346,28 @@ def best_path(text: str) -> list[int]:
 
 # --- scripts without spaces: a lattice of dictionary words ----------------------------------------------------
 
-# Words of Thai, Lao, Khmer and Burmese that tell whether a sentence goes on over a gap.
-FINAL = "ครับ ค่ะ คะ นะ แล้ว ทันที ด้วย เลย หรือไม่ ไหม มั้ย ไป มา อยู่ ได้ ไว้ เท่านั้น กัน เอง อีก จ้ะ สิ ล่ะ ເດີ ແລ້ວ ໄດ້ ហើយ ទេ သည် တယ် ပါ".split()
+# Words of Thai, Lao, Khmer and Burmese that tell whether a sentence goes on over a gap. What is polite
+# or asks ends a sentence whatever follows; the other final words may also stand within one.
+POLITE = "ครับ ค่ะ คะ นะ หรือไม่ ไหม มั้ย จ้ะ สิ ล่ะ ເດີ ទេ တယ် ပါ".split()
+FINAL = [*POLITE, *"แล้ว ทันที ด้วย เลย ไป มา อยู่ ได้ ไว้ เท่านั้น กัน เอง อีก ແລ້ວ ໄດ້ ហើយ သည်".split()]
 LINKS_ON = "และ หรือ กับ ของ ที่ ใน จาก ถึง โดย เพื่อ ใกล้ แห่ง ต่อ ตาม ระหว่าง คือ เป็น ว่า จะ ไม่ ซึ่ง ให้ แต่ เพราะ เนื่องจาก ต้อง กำลัง เคย ราว ประมาณ เกือบ ແລະ ຫຼື ຂອງ ທີ່ ໃນ និង ឬ នៅ ដែល နှင့်".split()
 GOES_ON_WITH = "และ หรือ ซึ่ง ที่ เพื่อ โดย เพราะ แต่ จึง ก็ ว่า ของ กับ คัน เมตร ครั้ง บาท คน ตัว ใบ ชิ้น กิโลเมตร เซนติเมตร มิลลิเมตร องศา เปอร์เซ็นต์ ปี วัน ชั่วโมง นาที เมื่อ หลัง ระหว่าง ทันที ແລະ ຫຼື ທີ່ និង ដែល".split()
-OPENING = "มี หัวหน้า แผ่น งาน ราว ทาง ท่อ ป้าย สัญญาณ รอยต่อ ไหล่ เขา เธอ เรา ผม ฉัน คุณ นาย นาง นี่ นั่น นี้ ใน วันนี้ เมื่อวาน ถ้า หาก ดังนั้น อย่างไรก็ตาม นอกจาก จาก ตาม การ ความ ผู้ คณะ บริษัท ທ່ານ ຂ້ອຍ".split()
-COSTS = {**{w: 0.9 for w in OPENING}, **{w: 0.8 for w in GOES_ON_WITH}, **{w: 0.8 for w in LINKS_ON}, **{w: 0.7 for w in FINAL}}
+# Words that open a sentence only where what they begin is as long as a clause; else they may name an item of a list.
+THINGS = "หัวหน้า แผ่น งาน ราว ทาง ท่อ ป้าย สัญญาณ รอยต่อ ไหล่ ใน จาก ตาม การ ความ ผู้ คณะ บริษัท".split()
+OPENING = [*THINGS, *"มี เขา เธอ เรา ผม ฉัน คุณ นาย นาง นี่ นั่น นี้ วันนี้ เมื่อวาน ถ้า หาก ดังนั้น อย่างไรก็ตาม นอกจาก ທ່ານ ຂ້ອຍ".split()]
+# Words that end like a final particle.
+NOT_FINAL = "ชนะ".split()
+COSTS = {**{w: 0.9 for w in OPENING}, **{w: 0.8 for w in GOES_ON_WITH}, **{w: 0.8 for w in LINKS_ON}, **{w: 0.7 for w in FINAL}, **{w: 0.6 for w in NOT_FINAL}}
+#: Signs from which a stretch may be a clause.
+CLAUSE_SIGNS = 16
+#: Sentence marks of Khmer and Burmese; a text that has them ends its sentences with them.
+MARKED = re.compile(r"[។៕။]")
+# How Chinese and Japanese sentences end, surely or perhaps, and how they open or go on.
+WIDE_FINAL = tuple("です ます でした ました ません ませんでした でしょう ましょう ください ですか ますか 吗 呢 吧".split())
+WIDE_MAYBE = tuple("た だ る よ ね か 了".split())
+WIDE_OPENING = tuple("しかし そして また では それでは 次に 続いて この その あの これ それ ここ 私 彼 今日 昨日 明日 但是 然而 因此 所以 另外 首先 其次 最后 我 你 他 她 这 那 今天 昨天 明天".split())
+WIDE_GOES_ON = tuple("が けど けれど から ので のに と って は を に で も や の へ 的 地 得 和 与 或 及 而".split())
+WIDE_GAP = re.compile(rf"(?<={WIDE_SCRIPT.pattern})[ \t\u00a0\u3000]+(?={WIDE_SCRIPT.pattern})")
 LONGEST = max(map(len, COSTS))
 
 
@@ -369,29 +394,41 @@ def gap_ends(left: str, right: str) -> bool:
     """Whether the gap between two stretches of a spaceless script ends a sentence."""
     if not left or not right or not SPACELESS.search(left + right):
         return False
-    score = 1.0
     last, first = segment(left[-40:])[-1], segment(right[:40])[0]
-    score += (last in FINAL) - 3.0 * (last in LINKS_ON and last not in FINAL)
-    score += (first in OPENING) - 3.0 * (first in GOES_ON_WITH and first not in OPENING)
-    if left[-1].isdigit() and SPACELESS.match(right[0]) or right[0] in "ๆฯ,;:)" or left[-1] in ",;:(" or right[0].isdigit():
-        score -= 3.0
+    clause = len(right) >= CLAUSE_SIGNS
+    score = 0.4 if clause and len(left) >= CLAUSE_SIGNS else -0.6
+    score += 3.0 if last in POLITE else 1.0 if last in FINAL else -3.0 * (last in LINKS_ON)
+    score += (clause or first not in THINGS) if first in OPENING else -2.0 * (first in GOES_ON_WITH)
+    if right[0] in "ๆฯ,;:)" or left[-1] in ",;:(":
+        score -= 6.0
+    elif left[-1].isdigit() and SPACELESS.match(right[0]) or right[0].isdigit():
+        score -= 2.0
     if not SPACELESS.search(left[-12:]) and not SPACELESS.search(right[:12]):
         score -= 2.0
     return score > 0
 
 
+def wide_gap_ends(left: str, right: str) -> bool:
+    """Whether the gap between two stretches of Chinese or Japanese ends a sentence."""
+    score = -1.0
+    score += 1.5 if left.endswith(WIDE_FINAL) else 0.5 if left.endswith(WIDE_MAYBE) else 0.0
+    score += 0.7 if right.startswith(WIDE_OPENING) else -1.5 if right.startswith(WIDE_GOES_ON) else 0.0
+    return score > 0
+
+
 def spaceless_ends(text: str) -> list[int]:
     """Sentence ends of a run in a spaceless script without obligatory terminators."""
     pairs = quoted(text)
     ends = []
     start = 0
+    marked = bool(MARKED.search(text))
     for m in re.finditer(r"\s+", text):
         if any(a < m.start() < b for a, b in pairs):
             continue
         left, right = text[start : m.start()].rstrip(), text[m.end() :]
         left = left.rsplit(None, 1)[-1] if left else left
         right = right.split(None, 1)[0] if right else right
-        if right and (gap_ends(left, right) or left and left[-1] in ".!?" and not right[0].islower()):
+        if right and (left[-1:] in {*"។៕။"} or not marked and gap_ends(left, right) or left and left[-1] in ".!?" and not right[0].islower()):
             ends.append(m.start())
             start = m.end()
     return ends

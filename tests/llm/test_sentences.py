@@ -55,6 +55,22 @@ def test_gap_classes():
     assert "".join(sentences.segment("ราวกั้นและท่อ")) == "ราวกั้นและท่อ" and "และ" in sentences.segment("ราวกั้นและท่อ")
 
 
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["ขอบคุณครับ", "แต่ถนนยังปิดอยู่"],  # a final particle outweighs a linking word
+        ["แผ่นงานC32825กล่าวถึงป้ายรถเมล์ ทางแยก ท่อระบายน้ำ"],  # items of a list
+        ["ถนนปิด ฝนตก"], ["ถนนปิดครับ", "ฝนตก"], ["ถนนปิด", "เขารอ"],  # only a final or an opening word makes an end
+        ["ทีมของเขาชนะ แต่ถนนยังปิดอยู่"],
+        ["ຖະໜົນປິດ ຝົນຕົກ"], ["ຖະໜົນປິດ", "ຂ້ອຍລໍ"],
+        ["သူ ကျောင်း သို့ သွားသည်။", "လမ်း ပိတ်ထားသည်။"], ["ផ្លូវ បាន បិទ។", "ភ្លៀង ធ្លាក់។"],
+        ["工事は終わりました", "次に進みます"], ["工事は終わった", "しかし雨です"], ["工事は終わった 橋の上"], ["工事は終わりました が、雨です"], ["东京 大阪 名古屋"], ["路关了吗", "桥还开着"],
+    ],
+)
+def test_particles_and_openers_decide(parts):
+    assert cut(" ".join(parts)) == parts
+
+
 def test_operator_cases(spark):
     rows = [(1, None), (2, ""), (3, " \n "), (4, "One. Two!"), (4, "One. Two!"), (None, "One."), (5, "word " * 30_000 + "end. Next one"), (6, "... !!!")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS sentence")
