@@ -155,6 +155,15 @@ def clauses(answer: str, question: str | None = None) -> list[str]:
     return [c for c in (p.strip() for p in CLAUSE.split(text)) if WORD.search(c)]
 
 
+def last_words(clause: str) -> list[str]:
+    """The last words of a clause, two at least if it has them, however many signs follow them."""
+    end = len(clause)
+    while not clause[end - 1].isalnum():
+        end -= 1
+    tail = WORD.findall(clause, max(0, end - 60), end)
+    return tail if len(tail) > 2 else WORD.findall(clause)
+
+
 class Question:
     def __init__(self, text: str | None):
         self.text = text = text or ""
@@ -193,7 +202,7 @@ def features(question: Question, parts: list[str]) -> list[list[int]]:
         kind = end if end in ".!?…,;:(-—" else "q" if end in "\"'”’»)]}" else "." if end in "。！？।؟" else "9" if end.isdigit() else "A" if end.isupper() else "w"
         names.append("t%s%d" % (kind, last))
         if last:
-            tail = WORD.findall(clause[-60:])
+            tail = last_words(clause)
             one = tail[-1]
             two = tail[-2] if len(tail) > 1 else "^"
             form = shape(one)

@@ -62,6 +62,17 @@ def test_cases(field, question, answer, defect):
     assert defects.judge(field, [(question, answer)]) == [defect]
 
 
+@pytest.mark.parametrize("sign", [".", "_", "-", "–", ". ", "…"])
+def test_many_signs_after_the_last_word(spark, field, sign):
+    few, many = (f"At Lurabend the limit is 42 m {sign * n}".rstrip() for n in (9, 300))
+    question = defects.Question(Q)
+    assert defects.features(question, [few]) == defects.features(question, [many])
+    defect = defects.judge(field, [(Q, few)])[0]
+    rows = [(1, Q, many), (2, Q, "Q" * 90 + sign * 80), (3, Q, "")]
+    got = {(r.record_seq, r.defect) for r in defects.find_defects(spark.createDataFrame(rows, "record_seq long, question string, answer string"), field).collect()}
+    assert (3, "empty") in got and ((1, defect) in got) == bool(defect)
+
+
 def test_operator_cases(spark, field):
     rows = [(1, Q, None), (1, Q, None), (2, None, GOOD), (3, None, None), (4, Q, GOOD * 400), (None, Q, ""), (5, "", "")]
     df = spark.createDataFrame(rows, "record_seq long, question string, answer string").selectExpr("*", "'x' AS defect")
