@@ -54,8 +54,9 @@ class Engine:
         """All stages and all files. A set ``stop`` ends the run before generation with what there is; work
         that runs is cancelled by the caller through Spark's job tags."""
         tell = progress or (lambda event: None)
-        paths = [r["path"] for r in documents.orderBy("doc_seq").select("path").limit(1000).collect()]
-        result = RunResult(output_dir=export.create_run_dir(self.config.output_dir, paths, self.config.model_name))
+        ordered = documents.orderBy("doc_seq").select("path")
+        paths = lambda: (r["path"] for r in ordered.toLocalIterator())
+        result = RunResult(output_dir=export.create_run_dir(self.config.output_dir, paths(), self.config.model_name))
         pages = cut_lineage(clean_pages(raw_pages, self.config))
         result.total_pages = pages.count()
         tell(Progress("extract", "pages", {"pages_done": result.total_pages}))
@@ -76,7 +77,7 @@ class Engine:
         export.write_jsonl(split, result.output_dir)
         result.review_workbook_path = export.write_workbook(split, result.output_dir)
         result.split_counts = {r["split"]: r["n"] for r in split_counts(split).collect()}
-        export.write_run_info(result.output_dir, self.config, paths, {
+        export.write_run_info(result.output_dir, self.config, paths(), {
             "pages": result.total_pages, "chunks": result.total_chunks, "examples_generated": result.total_examples_generated, "qc_passed": result.total_qc_passed,
             "qc_rejected": result.total_qc_rejected, "tokens_used": result.total_tokens_used, "split_counts": result.split_counts,
         })

@@ -82,6 +82,17 @@ def test_run_writes_everything(spark, tmp_path):
     assert Engine(spark, RunConfig(output_dir=str(tmp_path))).run(raw, docs, stop=stop).total_qc_passed == 0
 
 
+def test_run_lists_all_documents(spark, tmp_path):
+    docs = documents.queue(spark, [f"/in/d{k:04}.pdf" for k in range(1203)])
+    raw = docs.where("doc_seq < 2").select("source_doc", F.lit(1).alias("page_num"), F.lit("word " * 60).alias("raw_text"), F.array().cast("array<string>").alias("tables"))
+    stop = threading.Event()
+    stop.set()
+    out = Path(Engine(spark, RunConfig(output_dir=str(tmp_path))).run(raw, docs, stop=stop).output_dir)
+    info = json.loads((out / "run_info.json").read_text())
+    assert out.name.endswith("d0000_plus1202_gemma4_12b") and info["source_pdfs"] == [f"d{k:04}.pdf" for k in range(1203)]
+    assert (out / "run_info.json").read_text() == json.dumps(info, indent=2, ensure_ascii=False)
+
+
 def test_sources(spark):
     lines = spark.createDataFrame([("100, 200",), ("bad",), ("x, 3",), ("50, 100",)], "value string")
     assert tuple(documents.sum_memory(lines).first()) == (150.0, 300.0) and documents.sum_memory(lines.limit(0)).count() == 0
