@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quirework.config import RunConfig
 
 NAMES = ["train", "val", "test"]
-#: Documents up to which the seeded shuffle runs on the driver; beyond it the order is by hash.
+#: Documents up to which the seeded shuffle runs on the driver; beyond it ``seeded`` is an error.
 SHUFFLED_ON_DRIVER = 1_000_000
 
 
@@ -29,12 +29,14 @@ def split_documents(docs: DataFrame, config: RunConfig = RunConfig(), mode: str
     """``source_doc, split`` of distinct documents.
 
     ``hash`` orders them by md5 of seed and name, which any engine reproduces; ``seeded`` by a seeded shuffle of
-    the sorted names on the driver, up to ``SHUFFLED_ON_DRIVER`` documents.
+    the sorted names on the driver. More than ``SHUFFLED_ON_DRIVER`` documents are an error there, never another order.
     """
     config.check_ratios()
     names = docs.select("source_doc").distinct()
     n = names.count()
-    if mode == "seeded" and n <= SHUFFLED_ON_DRIVER:
+    if mode == "seeded":
+        if n > SHUFFLED_ON_DRIVER:
+            raise ValueError(f"a seeded split takes at most {SHUFFLED_ON_DRIVER:,} documents, not {n:,}; use mode='hash'")
         ordered = sorted((r[0] for r in names.collect()), key=lambda s: s.encode())
         random.Random(config.split_seed).shuffle(ordered)
         ranked = docs.sparkSession.createDataFrame(list(enumerate(ordered)), "rank int, source_doc string")

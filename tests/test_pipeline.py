@@ -28,6 +28,14 @@ def test_seeded_split_order(spark):
     assert all(got[d] == "train" for d in ("src9", "src13", "src4", "src12")) and all(got[d] == "test" for d in ("src0", "src11")) and all(got[d] == "val" for d in ("src15", "src16"))
 
 
+def test_seeded_split_never_changes_its_order(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"src{k}",) for k in range(6)], "source_doc string")
+    monkeypatch.setattr(split, "SHUFFLED_ON_DRIVER", 5)
+    with pytest.raises(ValueError, match="at most 5 documents, not 6"):
+        split.split_documents(docs, mode="seeded")
+    assert split.split_documents(docs).count() == 6 and split.split_documents(docs.limit(5), mode="seeded").count() == 5
+
+
 def test_split_fallback_and_counts(spark):
     rows = spark.range(25).selectExpr("id AS record_seq", "concat('d', id % 2) AS source_doc")
     placed = split.split_records(rows)
