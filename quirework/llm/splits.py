@@ -13,11 +13,13 @@ tables; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.components import connected_components
-from quirework.session import cut_lineage
+from quirework.session import cut_lineage, shared_dir
 
 RATIOS = {"train": 0.8, "val": 0.1, "test": 0.1}
 #: A new component with more than this share of all records is placed by itself; there are at most
@@ -171,6 +173,50 @@ def assign_splits(records: DataFrame, source_docs: DataFrame, *, state: DataFram
     return nodes.select("node", "root").join(placed, "root").select("node", "root", "split", "status")
 
 
+def _versions(spark, path: str) -> tuple:
+    """The file system of ``path``, its ``Path`` class, and the numbers of all and of the complete versions there."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = of(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    every = sorted(int(n[2:]) for n in names if n.startswith("v-"))
+    return fs, of, every, [n for n in every if fs.exists(of(f"{path}/v-{n}/_SUCCESS"))]
+
+
+def load_state(spark, path: str) -> DataFrame | None:
+    """The table that ``save_state`` last wrote completely to ``path``; None before the first."""
+    complete = _versions(spark, path)[3]
+    return spark.read.parquet(f"{path}/v-{complete[-1]}") if complete else None
+
+
+def save_state(table: DataFrame, path: str) -> DataFrame:
+    """Write the next version of the table to ``path`` and go on from it. ``table`` may come from the version
+    before, which is kept; older ones are deleted."""
+    fs, of, every, complete = _versions(table.sparkSession, path)
+    table.write.option("compression", "zstd").parquet(f"{path}/v-{(every or [0])[-1] + 1}")
+    for n in every:
+        if n not in complete[-1:]:
+            fs.delete(of(f"{path}/v-{n}"), True)
+    return load_state(table.sparkSession, path)
+
+
+def add_documents(source_docs: DataFrame, path: str) -> DataFrame:
+    """``node, root`` after a batch of documents; the table is held under ``path``."""
+    return save_state(update_components(link_edges(source_docs), load_state(source_docs.sparkSession, path)).select("node", "root"), path)
+
+
+def add_batch(records: DataFrame, source_docs: DataFrame, path: str, *, ratios: dict[str, float] | None = None) -> DataFrame:
+    """``assign_splits`` with the table held under ``path``."""
+    return save_state(assign_splits(records, source_docs, state=load_state(records.sparkSession, path), ratios=ratios), path)
+
+
+def arrivals(source_docs: DataFrame) -> list[DataFrame]:
+    """The documents in two batches, by the time they were received; without one they come last."""
+    middle = source_docs.agg(F.percentile_approx(F.unix_micros("received_at"), 0.5)).first()[0]
+    early = F.coalesce(F.unix_micros("received_at") <= F.lit(middle).cast("long"), F.lit(False))
+    return [source_docs.where(early), source_docs.where(~early)]
+
+
 def place_records(records: DataFrame, table: DataFrame) -> DataFrame:
     """``record_seq, split, status`` of each record; delivered twice, it counts once."""
     keyed = records.select("record_seq", F.concat(F.lit("d:"), document_key(F.col("source_doc"))).alias("node")).distinct()
@@ -191,7 +237,10 @@ def _tables(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
     records, docs = _tables(spark, sf_dir)
-    return group_documents(records, update_components(link_edges(docs)))
+    path = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
+    for batch in arrivals(docs):
+        nodes = add_documents(batch, path)
+    return group_documents(records, nodes)
 
 
 def p1_splits(spark, sf_dir: str) -> DataFrame:

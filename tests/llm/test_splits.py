@@ -103,6 +103,30 @@ def test_incremental_splits(spark):
     assert all(len(v) == 1 for v in by_root.values())
 
 
+def test_state_is_held_under_a_path(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+    assert splits.load_state(spark, path) is None
+    records = spark.createDataFrame([(k, f"{'abcdefghij'[k % 10]}.pdf") for k in range(400)], "record_seq long, source_doc string")
+    batches = [docs_frame(spark, [("a.pdf", "P. One", None), ("b.pdf", "P. One", None)]), docs_frame(spark, [("new.pdf", "P. One", None), ("free.pdf", "Z. New", None)]), docs_frame(spark, [("c.pdf", "Z. New", None)])]
+    state = None
+    for k, batch in enumerate(batches):
+        state = splits.assign_splits(records, batch, state=state)
+        held = splits.add_batch(records, batch, path)
+        assert {tuple(r) for r in held.collect()} == {tuple(r) for r in splits.load_state(spark, path).collect()} == {tuple(r) for r in state.collect()}
+        (tmp_path / "state" / f"v-{10 + 2 * k}").mkdir()  # a version that was not written to its end
+    assert {r.status for r in held.where("node IN ('d:a', 'd:new')").collect()} == {"kept"}
+    assert len(list((tmp_path / "state").glob("v-*/_SUCCESS"))) == 2
+
+
+def test_query_runs_over_arrivals(spark, sf_dir, monkeypatch):
+    seen, whole = [], splits.update_components
+    monkeypatch.setattr(splits, "update_components", lambda edges, state=None: seen.append(state and state.count()) or whole(edges, state))
+    docs = spark.read.parquet(f"{sf_dir}/source_docs.parquet")
+    assert sum(b.count() for b in splits.arrivals(docs)) == docs.count() and all(b.count() == 0 for b in splits.arrivals(docs.limit(0)))
+    splits.p1_found(spark, sf_dir)
+    assert len(seen) == 2 and seen[0] is None and seen[1] > 0
+
+
 def test_query_against_brute_force(spark, sf_dir):
     records, docs = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("validated_records", "source_docs"))
     edges = [tuple(r) for r in splits.link_edges(docs).collect()]
