@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -54,11 +55,26 @@ NOT_FIRST = set(
     .split()
 )
 
-LOW = "a-zà-öø-ÿﬀ-ﬆß-"
-CAP = rf"[A-ZÀ-ÖØ-Þ][{LOW[:-1]}'’]+"
+def _letters(*categories: str) -> str:
+    """The letters of Unicode categories as ranges of a character class; of those beyond the first plane only
+    such as have both cases, which leaves out mathematical signs."""
+    points = [p for p in range(0x20000) if unicodedata.category(c := chr(p)) in categories and (p < 0x10000 or c.swapcase() != c)]
+    runs: list[list[int]] = []
+    for p in points:
+        if runs and p == runs[-1][1] + 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in runs)
+
+
+MARK = "\u0300-\u036f"  # the marks of decomposed letters
+UP = _letters("Lu", "Lt")
+LOW = _letters("Ll") + MARK + "-"
+CAP = rf"[{UP}][{LOW[:-1]}'’ʼʻ]+"
 GIV = rf"{CAP}(?:-{CAP})?"
-INI = r"[A-ZÀ-ÖØ-Þ]\."
-UPP = r"[A-ZÀ-ÖØ-Þ]{2,}(?:-[A-ZÀ-ÖØ-Þ]{2,})?"
+INI = rf"[{UP}][{MARK}]*\."
+UPP = rf"[{UP}][{UP}{MARK}]+(?:-[{UP}][{UP}{MARK}]+)?"
 PAR = r"(?:van der|van den|van|von|de la|de|del|della|di|da|dos|du|le|ten|ter|zu)"
 S = r"\s{1,4}"
 STREET = "Street|Avenue|Road|Lane|Court|Close|Drive|Boulevard|Place|Square|Way|Terrace|Crescent|Alley|Row|St\\.?|Ave\\.?|Rd\\.?|Ln\\.?|Ct\\.?|Cl\\.?|Dr\\.?|Blvd\\.?|Pl\\.?|Sq\\.?|Ter\\.?"
@@ -77,9 +93,9 @@ GENERATORS = [
     ("name", re.compile(rf"\b{GIV}{S}(?:{INI}{S}?)?(?:{PAR}{S})?{CAP}(?:-{CAP})?\b")),
     ("name", re.compile(rf"(?<![\w.])(?:{INI}{S}?){{1,3}}(?:{PAR}{S})?{CAP}(?:-{CAP})?\b")),
     ("name", re.compile(rf"\b(?:{PAR}{S})?{CAP}(?:-{CAP})?,{S}(?:{GIV}\b(?:{S}{INI})?|{INI}(?:\s?{INI})*)")),
-    ("name", re.compile(rf"\b{UPP}{S}(?:{INI}{S}?)?(?:(?:VAN DER|VAN|VON|DE LA|DE|DEL|DI|DA|DU){S})?[A-ZÀ-ÖØ-Þ]{{4,}}(?:-[A-Z]{{3,}})?\b")),
-    ("name", re.compile(rf"\b[A-ZÀ-ÖØ-Þ]{{4,}},{S}(?:{UPP}\b|{INI})")),
-    ("name", re.compile(rf"(?<![\w.])(?:{INI}{S}?){{1,3}}(?:(?:VAN|VON|DE){S})?[A-ZÀ-ÖØ-Þ]{{4,}}\b")),
+    ("name", re.compile(rf"\b{UPP}{S}(?:{INI}{S}?)?(?:(?:VAN DER|VAN|VON|DE LA|DE|DEL|DI|DA|DU){S})?[{UP}][{UP}{MARK}]{{3,}}(?:-[{UP}][{UP}{MARK}]{{2,}})?\b")),
+    ("name", re.compile(rf"\b[{UP}][{UP}{MARK}]{{3,}},{S}(?:{UPP}\b|{INI})")),
+    ("name", re.compile(rf"(?<![\w.])(?:{INI}{S}?){{1,3}}(?:(?:VAN|VON|DE){S})?[{UP}][{UP}{MARK}]{{3,}}\b")),
 ]
 #: For generators 7 to 12: where the given name stands (0 first, 1 last).
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
@@ -89,6 +105,8 @@ HOST = re.compile(r"\s?\w[\w\-]*(?:(?:\.|\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\sdot\s)\
 BEFORE = re.compile(r"([^\W_]+)\W*$")
 AFTER = re.compile(r"\W*?([^\W_]+)")
 OVERLAPPING = {7, 10}
+INITIAL = re.compile(rf"\b[{UP}][{MARK}]*\.")
+MARKS = re.compile(rf"[{MARK}]+")
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, int]]:
@@ -118,6 +136,8 @@ def candidates(text: str) -> Iterator[tuple[int, int, int]]:
                     at = first.end()
                     continue
                 at = first.end() if first else at
+            if m := MARKS.match(text, b):  # a decomposed last letter
+                b = m.end()
             yield g, a, b
 
 
@@ -163,7 +183,7 @@ def features(text: str, g: int, a: int, b: int) -> list[int]:
         _word_class(prev), _word_class(prev2), _word_class(nxt),
         0 if not char else 1 if char == "," else 2 if char in ".!?" else 3 if char == ";" else 4 if char in "()" else 5 if char == "-" else 6 if char.isspace() else 7,
         0 if not gap and not left else 1 if gap.endswith("(") else 2 if re.search(r"[.!?:]\s*$", gap) else 3 if gap.endswith("-") else 4 if "," in gap else 5 if gap.strip() == "" and gap else 6,
-        not left.strip() or bool(re.search(r"[.!?]\s+$|\n\s*$", left)), nxt.lower() in THING_AFTER or (len(words) > 1 and (lowered[-1] in THING_AFTER or lowered[0] in THING_AFTER)), min(long_word, 15), bool(re.search(r"\b[A-Z]\.", span)), "-" in span,
+        not left.strip() or bool(re.search(r"[.!?]\s+$|\n\s*$", left)), nxt.lower() in THING_AFTER or (len(words) > 1 and (lowered[-1] in THING_AFTER or lowered[0] in THING_AFTER)), min(long_word, 15), bool(INITIAL.search(span)), "-" in span,
         len(words) > 1 and abs(len(words[0]) - len(words[-1])) <= 1, span.isupper(), sizes[:1] == [9], sizes == [3, 2, 4] or sizes == [8, 4], sizes[-3:] == [3, 3, 4] or sizes[-2:] == [3, 4] or sizes[-1:] == [7],
         min(sizes[-1], 15) if sizes else 0, prev[:1].isupper() + (len(prev) > 1 and prev.isupper()), nxt[:1].isupper() + (len(nxt) > 1 and nxt.isupper()), prev.lower() in GIVEN, label,
     ]

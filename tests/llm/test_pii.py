@@ -1,3 +1,5 @@
+import unicodedata
+
 import numpy as np
 import pytest
 
@@ -41,6 +43,32 @@ def test_pieces(text, pieces):
     assert all(p not in done for _, p in pieces) and done.count("[") >= len(pieces)
 
 
+@pytest.mark.parametrize("form", ["NFC", "NFD"])
+@pytest.mark.parametrize(
+    "text, pieces",
+    [
+        ("Signed on site by Petar Petrović, 446 Kelepaluft Lane.", [("name", "Petar Petrović"), ("address", "446 Kelepaluft Lane")]),
+        ("The note was written by Łukasz Dvořák on Monday.", [("name", "Łukasz Dvořák")]),
+        ("Mr. Şahin Öztürk and Ms. Elif Yılmaz walked the line together.", [("name", "Şahin Öztürk"), ("name", "Elif Yılmaz")]),
+        ("According to Иван Петров, the joint had moved overnight.", [("name", "Иван Петров")]),
+        ("Witness: M. Dvořák; tel. 401-555-0133.", [("name", "M. Dvořák"), ("phone", "401-555-0133")]),
+        ("Deliver to 12 Dvořák Street, rear door.", [("address", "12 Dvořák Street")]), ("The claimant lives at Žižkastraße 12.", [("address", "Žižkastraße 12")]),
+    ],
+)
+def test_letters_of_all_alphabets(text, pieces, form):
+    text = unicodedata.normalize(form, text)
+    spans = pii.detector().find([text])[0]
+    assert [(k, text[a:b]) for a, b, k in spans] == [(k, unicodedata.normalize(form, p)) for k, p in pieces]
+
+
+@pytest.mark.parametrize("name", ["Jiří Novák", "Novák, Jiří", "Š. Đurić", "ŁUKASZ NOWAŃSKI", "ŻUKOWSKI, Ł.", "Ł. ŻUKOWSKI", "Γιώργος Παππάς", "Արամ Պետրոսյան", "Ǆorđe Ilić"])
+def test_names_are_proposed(name):
+    for form in ("NFC", "NFD"):
+        own = unicodedata.normalize(form, name)
+        text = f"Signed by {own} at noon."
+        assert own in {text[a:b] for _, a, b in pii.candidates(text)}
+
+
 def test_operator_cases(spark):
     mail = "Mail to ann.lee@roads.example now."
     rows = [("page", 1, mail), ("page", 1, mail), ("page", 2, None), ("chunk", 3, ""), ("chunk", None, "x " * 50_000 + mail)]
