@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -36,10 +34,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A cluster names it in ``spark.checkpoint.dir``; only where
-    that is unset (a single machine, as in tests) a temporary folder is made."""
+    """The folder all executors share. A cluster names it in ``spark.checkpoint.dir``; only on a single machine, as
+    in tests, a temporary folder is made where that is unset. On a cluster it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="quirework-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         at = "file://" + own
@@ -49,6 +49,36 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """``path`` and its file system, on the side of the JVM."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at, fs = hadoop_path(spark, path)
+    fs.delete(at, True)
+
+
+_OWN: set[str] = set()
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This session's own folder within the shared one; it is deleted when the interpreter ends."""
+    at = f"{shared_dir(spark)}/quirework-{spark.sparkContext.applicationId}"
+    if at not in _OWN:
+        _OWN.add(at)
+
+        def leave(spark=spark, at=at) -> None:
+            try:
+                delete_path(spark, at)
+            except Exception:  # the JVM may be gone
+                pass
+
+        atexit.register(leave)
+    return at
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -58,7 +88,9 @@ def ship(spark: SparkSession) -> SparkSession:
     if context.applicationId not in _SHIPPED:
         _SHIPPED.add(context.applicationId)
         root = Path(__file__).resolve().parent
-        target = Path(tempfile.mkdtemp(prefix="quirework-"), "quirework.zip")
+        own = tempfile.mkdtemp(prefix="quirework-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        target = Path(own, "quirework.zip")
         with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
             for path in sorted(root.rglob("*.py")):
                 archive.write(path, path.relative_to(root.parent))
@@ -66,21 +98,30 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that a cut has made superfluous; it does so when the driver
-    collects its garbage, which may otherwise come too late for the executors' disks."""
-    for _ in range(2):  # what the first pass frees on one side holds objects on the other
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+#: Shuffle files of a query are deleted when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written table.
 
-    What is written survives the loss of executors, is computed once, and is read column by column.
+    What is written survives the loss of executors, is computed once, and is read column by column. The shuffle
+    files of the plan that the cut makes superfluous are deleted with the write.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{run_dir(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_to = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``cut_lineage`` that nothing reads any more."""
+    for table in tables:
+        delete_path(table.sparkSession, table._written_to)
