@@ -2,7 +2,7 @@
 
 Records of val and test are indexed by the prefixes of their word sets, rare words first; train records probe
 the index with length and position filters, and candidates are verified. Records of the same chunk are
-found by an equi-join. All overlaps come out as record pairs, and are counted by split and source.
+found by an equi-join whose hot keys are salted. All overlaps come out as record pairs, and are counted by split and source.
 
 Defined cases: a null answer adds no words; an empty set is similar to nothing; a null ``chunk_id`` equals
 nothing; a null ``record_seq`` or a split other than train, val and test forms no pair; rows delivered
@@ -16,6 +16,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirework.llm.common import spread_join
 from quirework.llm.setjoin import Plan, hashed_words, similar_sets
 
 PLAN = Plan(Fraction(4, 5), shingle=1, depth=2)
@@ -30,13 +31,13 @@ def cross_split_pairs(records: DataFrame, plan: Plan = PLAN) -> DataFrame:
     members, pairs = similar_sets(sided.select(F.col("record_seq").cast("long").alias("id"), F.col("__side").alias("side"), hashed_words(both).alias("hashes")), plan, two_sides=True)
     of = lambda side, s, c: members.where(F.col("side") == side).select(F.col("set").alias(s), F.col("id").alias(c))
     near = pairs.join(of(0, "a", "train_seq"), "a").join(of(1, "b", "eval_seq"), "b").select("train_seq", "eval_seq")
-    equal = of(0, "a", "train_seq").join(of(1, "a", "eval_seq"), "a").select("train_seq", "eval_seq")
+    equal = spread_join(of(0, "a", "train_seq"), of(1, "a", "eval_seq"), "a", "train_seq").select("train_seq", "eval_seq")
     text = near.unionByName(equal).withColumns({"same_chunk": F.lit(False), "near_text": F.lit(True)})
     blank = r"(?U)^[\s\x{00a0}\x{200b}\x{feff}]+|[\s\x{00a0}\x{200b}\x{feff}]+$"
     chunk = F.lower(F.regexp_replace("chunk_id", blank, ""))
     keyed = sided.select(F.col("record_seq").cast("long").alias("id"), "__side", chunk.alias("chunk")).where("chunk IS NOT NULL").distinct()
     end = lambda side, c: keyed.where(F.col("__side") == side).select("chunk", F.col("id").alias(c))
-    same = end(0, "train_seq").join(end(1, "eval_seq"), "chunk").select("train_seq", "eval_seq", F.lit(True).alias("same_chunk"), F.lit(False).alias("near_text"))
+    same = spread_join(end(0, "train_seq"), end(1, "eval_seq"), "chunk", "train_seq").select("train_seq", "eval_seq", F.lit(True).alias("same_chunk"), F.lit(False).alias("near_text"))
     found = text.unionByName(same).where("train_seq <> eval_seq")
     return found.groupBy("train_seq", "eval_seq").agg(F.max("same_chunk").alias("same_chunk"), F.max("near_text").alias("near_text"))
 

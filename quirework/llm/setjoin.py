@@ -7,6 +7,14 @@ themselves; frequent ones only in combinations of ``depth`` tokens, and only bet
 and the (much shorter) prefix that a shorter set needs. This keeps frequent tokens from joining everything
 with everything, and loses nothing: any token order and any rarity bound give the same result.
 
+Under every further global order (``Plan.orders``) a similar pair has to meet within its prefixes as well. The candidates
+are the intersection: rows of short sets carry a bit map of their prefix under each further order, by which
+the join itself drops pairs; what is left meets the exact prefixes, which are sent for candidates alone. Token sets
+move only for pairs that meet under all orders.
+
+A frequent token may be in a third of all sets. Keys that the sketch counts more than ``Plan.hot`` times are salted: the
+rows of longer sets take one salt by their set, those of shorter sets are repeated for every salt.
+
 Rows with equal sets are joined once, through the key of their set; a group of copies, however large, is
 one entity until the caller expands it. Set keys are 64-bit hashes; tokens are compared by 48
 bits of their hash in the search and by 40 within a candidate pair.
@@ -24,18 +32,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.common import NOT_WORD
-from quirework.session import cut_lineage, free_shuffles
+from quirework.session import cut_lineage, discard
 
 #: Cells of the frequency sketch, and cells of a block of it. Its size is fixed (16 MB), whatever the corpus; what
 #: shares a cell by chance shifts all counts alike, so that frequent tokens stand out at every size.
 CELLS = 1 << 22
 BLOCK = 1 << 13
-#: Sets of more tokens use single frequent tokens as keys instead of combinations.
-COMBINED_UP_TO = 80
 #: Set keys that a task remembers in order to send copies of a set only once.
 REMEMBERED = 1_000_000
-#: Candidate set keys that are broadcast (8 bytes each); beyond it sets and candidates are shuffled.
-BROADCAST_KEYS = 2_000_000
+#: Bits of the map of candidate sets that is broadcast (16 MB, whatever the corpus). Sets that share a bit with a
+#: candidate are sent for nothing.
+MAP_BITS = 27
+#: Salts of a hot key at most.
+SALTS = 64
 
 #: Bytes of a token that go into verification.
 PACKED = 5
@@ -59,6 +68,8 @@ class Plan:
     shingle: int = 1
     depth: int = 2  # frequent tokens in a join key
     orders: int = 1  # global token orders whose prefixes have to meet
+    combined_up_to: int = 80  # sets of more tokens use single frequent tokens as keys instead of combinations
+    hot: int = 1 << 16  # sets of one key beyond which it is salted; no token counted more often is rare
 
     def overlap(self, a, b):
         """The least intersection of sets of ``a`` and ``b`` tokens that reaches the threshold."""
@@ -118,9 +129,16 @@ class Sets:
         self.size = np.bincount(self.owner, minlength=len(size))
         self.start = np.cumsum(self.size) - self.size
         self.position = np.arange(len(self.token)) - np.repeat(self.start, self.size) + 1
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.token, 7), dtype=np.uint64)])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.token & LOW48, 7), dtype=np.uint64)])
         self.key = mix(sums[self.start + self.size] - sums[self.start], 11).view(np.int64)
 
+    def head(self, order: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+        """16 bits of each token in the prefix under a further global order, in that order, and the set of each."""
+        key = self.owner.astype(np.uint64) << np.uint64(48) | mix(self.token & LOW48, 100 + order) & LOW48
+        key.sort()
+        first = self.position <= plan.long_prefix(self.size[self.owner], 1)
+        return key[first].astype(np.uint16), self.owner[first]
+
 
 def _sketch(rows: DataFrame, plan: Plan) -> tuple[np.ndarray, int]:
     """The rarity class of each cell, and the class up to which a token is rare. All rows are counted."""
@@ -145,32 +163,45 @@ def _sketch(rows: DataFrame, plan: Plan) -> tuple[np.ndarray, int]:
     for row in rows.mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).collect():
         total[row["block"]] = np.frombuffer(row["cells"], np.uint32)
     total = total.ravel()
-    rare = 4 * int(np.median(total[total > 0])) + 16 if (total > 0).any() else 0
+    rare = min(4 * int(np.median(total[total > 0])) + 16, plan.hot) if (total > 0).any() else 0
     scale = lambda n: np.minimum(32767, 256 * np.log2(1 + n)).astype(np.int16)
     return scale(total), int(scale(np.array([rare]))[0])
 
 
+def _salted(sets: Sets, plan: Plan, role: int, key: np.ndarray, owner: np.ndarray, position: np.ndarray, token: np.ndarray):
+    """Keys with their salt; ``token`` is the rarest token of each key, whose count bounds that of the key."""
+    count = np.exp2((token >> np.uint64(48)).astype(np.float64) / 256)
+    salts = np.clip(np.ceil(count / plan.hot), 1, SALTS).astype(np.int64)
+    if role == 1:
+        salt = (sets.key[owner].view(np.uint64) % salts.view(np.uint64)).astype(np.int64)
+    else:
+        again = np.repeat(np.arange(len(key)), salts)
+        salt = np.arange(len(again)) - np.repeat(np.cumsum(salts) - salts, salts)
+        key, owner, position = key[again], owner[again], position[again]
+    return role, mix(key + salt.astype(np.uint64) * np.uint64(0x9E3779B1), 3), owner, position
+
+
 def _keys(sets: Sets, plan: Plan, rare: np.ndarray, fresh: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """``role, join key, set, position`` of the prefixes. Roles: 0 rare, 1 frequent in the prefix of a longer
     set, 2 frequent in the prefix of a shorter set."""
     n = sets.size[sets.owner]
     use = fresh[sets.owner]
-    mixed = n * plan.threshold.denominator > COMBINED_UP_TO * plan.threshold.numerator
-    take = use & (rare | (n <= 2)) & (sets.position <= plan.long_prefix(n, np.where(n <= COMBINED_UP_TO, plan.depth, 1)))
+    mixed = n * plan.threshold.denominator > plan.combined_up_to * plan.threshold.numerator
+    take = use & (rare | (n <= 2)) & (sets.position <= plan.long_prefix(n, np.where(n <= plan.combined_up_to, plan.depth, 1)))
     yield 0, sets.token[take], sets.owner[take], sets.position[take]
     for role, prefix in ((1, plan.long_prefix), (2, plan.short_prefix)):
         single = use & ~rare & (sets.position <= prefix(n, 1))
         if plan.depth > 1:
             single &= mixed
-        yield role, mix(sets.token[single], 3), sets.owner[single], sets.position[single]
+        yield _salted(sets, plan, role, sets.token[single], sets.owner[single], sets.position[single], sets.token[single])
         if plan.depth > 1:
-            both = np.flatnonzero(use & ~rare & (n <= COMBINED_UP_TO) & (sets.position <= prefix(n, plan.depth)))
+            both = np.flatnonzero(use & ~rare & (n <= plan.combined_up_to) & (sets.position <= prefix(n, plan.depth)))
             token, owner, position = sets.token[both], sets.owner[both], sets.position[both]
             for gap in range(1, len(token)):
                 same = owner[gap:] == owner[:-gap]
                 if not same.any():
                     break
-                yield role, mix(mix(token[:-gap][same], 5) + token[gap:][same], 9), owner[gap:][same], position[gap:][same]
+                yield _salted(sets, plan, role, mix(mix(token[:-gap][same], 5) + token[gap:][same], 9), owner[gap:][same], position[gap:][same], token[:-gap][same])
 
 
 def _signatures(sets: Sets, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,13 +219,32 @@ def _signatures(sets: Sets, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[0], found[1]
 
 
+def _marks(sets: Sets, plan: Plan) -> list[np.ndarray]:
+    """64 bits of each set's prefix under each further order."""
+    found = []
+    for order in range(1, plan.orders):
+        bits, owner = sets.head(order, plan)
+        out = np.zeros(len(sets.size), np.uint64)
+        if len(owner):
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            out[owner[first]] = np.bitwise_or.reduceat(np.uint64(1) << (bits & np.uint16(63)).astype(np.uint64), first)
+        found.append(out.view(np.int64))
+    return found
+
+
+def _marked(plan: Plan) -> list[str]:
+    """The columns of ``_marks``. Prefixes of large sets (plans of depth 1) would fill the bits; their rows have none."""
+    return [f"mark{k}" for k in range(1, plan.orders)] if plan.depth > 1 else []
+
+
 def _prefix_rows(rows: DataFrame, plan: Plan, classes, rare_class: int) -> DataFrame:
-    """One row for each join key of each set: its set, size, frequent tokens, position and signatures.
+    """One row for each join key of each set: its set, size, frequent tokens, position, signatures and marks.
 
     Keys of several tokens leave few candidates, so with them (depth over 1) rows carry less: no second signature,
     and none where the key is a rare token. An empty signature rules nothing out.
     """
     sent = rows.sparkSession.sparkContext.broadcast(classes)
+    names = ["role", "side", "key", "set", "n", "pos", "freq", "sig", "sig2", *_marked(plan)]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -210,19 +260,21 @@ def _prefix_rows(rows: DataFrame, plan: Plan, classes, rare_class: int) -> DataF
             rare = (sets.token >> np.uint64(48)).astype(np.int64) <= rare_class
             frequent = np.bincount(sets.owner, ~rare, minlength=len(sets.size)).astype(np.int32)
             one, two = _signatures(sets, rare)
+            marks = _marks(sets, plan) if plan.depth > 1 else []
             for role, key, owner, position in _keys(sets, plan, rare, fresh):
                 if len(key):
                     columns = [
                         pa.array(np.full(len(key), role, np.int8)), pa.array(sets.side[owner].astype(np.int8)), pa.array((key & LOW48).view(np.int64)), pa.array(sets.key[owner]),
                         pa.array(sets.size[owner].astype(np.int32)), pa.array(position.astype(np.int32)), pa.array(frequent[owner]), pa.array(one[owner] * np.int64(role > 0 or plan.depth == 1)), pa.array(two[owner] * np.int64(role > 0 and plan.depth == 1)),
+                        *(pa.array(m[owner]) for m in marks),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, ["role", "side", "key", "set", "n", "pos", "freq", "sig", "sig2"])
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(emit, "role byte, side byte, key long, set long, n int, pos int, freq int, sig long, sig2 long")
+    return rows.mapInArrow(emit, "role byte, side byte, key long, set long, n int, pos int, freq int, sig long, sig2 long" + "".join(f", {m} long" for m in _marked(plan)))
 
 
 def _candidates(prefixes: DataFrame, plan: Plan, two_sides: bool) -> DataFrame:
-    """``a, b``: distinct pairs of set keys that pass prefix, length, position and signature filter. With two
+    """``a, b``: distinct pairs of set keys that pass prefix, length, position, signature and mark filter. With two
     sides ``a`` is of side 0 and ``b`` of side 1, else ``a < b``.
 
     A pair shares at most as many frequent tokens as either has, less the bits of its signatures that the other
@@ -235,16 +287,17 @@ def _candidates(prefixes: DataFrame, plan: Plan, two_sides: bool) -> DataFrame:
 
     def part(role: int, side: int) -> DataFrame:
         """Copies of a set that several tasks sent become one here, on the partitioning that the join needs."""
-        return shuffled.where(F.col("part") == role * 2 + side).dropDuplicates(["key", "set"]).select("key", "set", "n", "pos", "freq", "sig", "sig2")
+        return shuffled.where(F.col("part") == role * 2 + side).dropDuplicates(["key", "set"]).select("key", "set", "n", "pos", "freq", "sig", "sig2", *_marked(plan))
 
     least = f"((({num} * (x.n + y.n) + {num + den - 1}) div {num + den}))"
-    depth = f"(CASE WHEN x.n > {COMBINED_UP_TO} OR y.n > {COMBINED_UP_TO} THEN 1 ELSE {plan.depth} END)"
+    depth = f"(CASE WHEN x.n > {plan.combined_up_to} OR y.n > {plan.combined_up_to} THEN 1 ELSE {plan.depth} END)"
     lacks = lambda s, t: f"({s}.freq - bit_count({s}.sig & ~{t}.sig) - bit_count({s}.sig2 & ~{t}.sig2))"
     beyond = lambda s: f"greatest(0, {least} - {depth} - {s}.freq)"  # rare tokens after the prefix of this pair
     need = f"{least} - least({lacks('x', 'y')}, {lacks('y', 'x')})"
 
     def meet(left: DataFrame, right: DataFrame, *, longer: bool, frequent: bool) -> DataFrame:
         near = f"x.n * {num} <= y.n * {den} AND y.n * {num} <= x.n * {den} AND least(x.n - x.pos, y.n - y.pos) + {depth} >= {least} AND x.set <> y.set"
+        near += "".join(f" AND (x.{m} & y.{m}) <> 0" for m in _marked(plan))
         if longer:
             near += " AND x.n >= y.n"
         if frequent:
@@ -265,80 +318,106 @@ def _candidates(prefixes: DataFrame, plan: Plan, two_sides: bool) -> DataFrame:
     return counted.where("met >= need").select("a", "b")
 
 
-def _members(rows: DataFrame, plan: Plan, classes, wanted: np.ndarray | None) -> DataFrame:
-    """``id, side, set, tokens``: the set of every row; tokens only where ``wanted`` holds the set (or is None)
-    and the task has not sent them yet."""
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast((classes, wanted))
+def _candidate_map(candidates: DataFrame) -> np.ndarray:
+    """A bit for each slot of set keys that holds a candidate, as bytes; its size is fixed."""
+    slots = candidates.select(F.explode(F.array("a", "b")).alias("set")).select((F.shiftrightunsigned("set", 64 - MAP_BITS) + 1).alias("slot"))
+    bits = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    out = np.zeros((1 << MAP_BITS - 15, 4096), np.uint8)
+    for row in bits.collect():
+        out[row["bucket"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def _packed(values: np.ndarray, owner: np.ndarray, asked: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` (2-dimensional) of each set as one binary; null where it is not asked."""
+    width = values.shape[1]
+    bounds = np.concatenate([[0], np.cumsum(np.where(asked, np.bincount(owner, minlength=len(asked)), 0)) * width])
+    kept = np.ascontiguousarray(values[asked[owner]]).tobytes()
+    valid = np.packbits(asked, bitorder="little").tobytes()
+    return pa.Array.from_buffers(pa.large_binary(), len(asked), [pa.py_buffer(valid), pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(kept)]).cast(pa.binary())
+
+
+def _members(rows: DataFrame, plan: Plan, wanted: np.ndarray) -> DataFrame:
+    """``id, side, set, tokens, head1, ...``: the set of every row; its tokens and its prefixes under the further orders only
+    where the map ``wanted`` has the set and the task has not sent them yet."""
+    sent = rows.sparkSession.sparkContext.broadcast(wanted)
+    heads = _heads(plan)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, keys = sent.value
+        bits = sent.value
         seen: set[int] = set()
         for batch in batches:
-            sets = Sets(batch, plan, table)
-            if keys is None:
-                asked = np.ones(len(sets.key), bool)
-            else:
-                at = np.minimum(np.searchsorted(keys, sets.key), max(0, len(keys) - 1))
-                asked = keys[at] == sets.key if len(keys) else np.zeros(len(sets.key), bool)
+            sets = Sets(batch, plan, None)
+            slot = (sets.key.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+            asked = (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
             for k in np.flatnonzero(asked):
                 if int(sets.key[k]) in seen:
                     asked[k] = False
                 seen.add(int(sets.key[k]))
             if len(seen) > REMEMBERED:
                 seen.clear()
-            kept = sets.token[asked[sets.owner]].view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
-            bounds = np.concatenate([[0], np.cumsum(np.where(asked, sets.size, 0)) * PACKED]).astype(np.int32)
-            valid = np.packbits(asked, bitorder="little").tobytes()
-            lists = pa.Array.from_buffers(pa.binary(), len(asked), [pa.py_buffer(valid), pa.py_buffer(bounds.tobytes()), pa.py_buffer(kept)])
-            some = pa.array(sets.size > 0)
-            whole = pa.RecordBatch.from_arrays([sets.id, pa.array(sets.side.astype(np.int8)), pa.array(sets.key), lists], ["id", "side", "set", "tokens"])
-            yield whole.filter(some)
+            columns = [sets.id, pa.array(sets.side.astype(np.int8)), pa.array(sets.key), pa.array(sets.size.astype(np.int32)), _packed(sets.token.view(np.uint8).reshape(-1, 8)[:, :PACKED], sets.owner, asked)]
+            for order in range(1, plan.orders):
+                head, owner = sets.head(order, plan)
+                columns.append(_packed(head.view(np.uint8).reshape(-1, 2), owner, asked))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "side", "set", "n", "tokens", *heads]).filter(pa.array(sets.size > 0))
 
-    return rows.mapInArrow(emit, "id long, side byte, set long, tokens binary")
+    return rows.mapInArrow(emit, "id long, side byte, set long, n int, tokens binary" + "".join(f", {h} binary" for h in heads))
 
 
-def _verify(pairs: DataFrame, plan: Plan) -> DataFrame:
-    """``a, b`` of the pairs (``a, b, x, y`` with packed tokens) that reach the threshold.
+def _heads(plan: Plan) -> list[str]:
+    return [f"head{k}" for k in range(1, plan.orders)]
 
-    Before the intersection is counted, the prefixes under each further token order have to meet.
-    """
-    num, den = plan.threshold.numerator, plan.threshold.denominator
 
-    def flat(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token, row and size of a column of packed sets."""
-        size = np.fromiter((len(v) // PACKED for v in column.to_pylist()), np.int64, len(column))
-        raw = np.zeros((int(size.sum()), 8), np.uint8)
-        raw[:, :PACKED] = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PACKED)
-        return raw.view(np.uint64).ravel(), np.repeat(np.arange(len(size), dtype=np.uint64), size), size
+def _flat(column, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column in rows of ``width``, and how many rows each value has."""
+    values = column.to_pylist()
+    size = np.fromiter((len(v) // width for v in values), np.int64, len(values))
+    return np.frombuffer(b"".join(values), np.uint8).reshape(-1, width), size
 
-    def shared(n: int, *sides: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """How many tokens the two sides of each row have in common; row and token make one sort key."""
-        key = np.concatenate([owner << np.uint64(48) | token for token, owner in sides])
-        key.sort()
-        return np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(48)).astype(np.int64), minlength=n)
+
+def _meet_heads(pairs: DataFrame, plan: Plan) -> DataFrame:
+    """``a, b`` of the pairs (``a, b, n, m, x1, y1, ...``) whose prefixes meet under every further order. Tokens are told by 16
+    bits here, so that a few pairs pass that should not; none is lost."""
+    sides = [c for k in range(1, plan.orders) for c in (f"x{k}", f"y{k}")]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(k, 1 << 14) for whole in batches for k in range(0, whole.num_rows, 1 << 14)):
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in (2, 3))
+            least, alive = plan.overlap(n, m), np.ones(batch.num_rows, bool)
+            for k in range(plan.orders - 1):
+                keys = []
+                for total, column in ((n, 4 + 2 * k), (m, 5 + 2 * k)):
+                    raw, size = _flat(batch.column(column), 2)
+                    owner = np.repeat(np.arange(len(size)), size)
+                    rank = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+                    inside = rank <= (total - least)[owner]
+                    keys.append(owner[inside] << 16 | raw.copy().view(np.uint16).ravel()[inside].astype(np.int64))
+                met = np.zeros(len(alive), bool)
+                met[np.intersect1d(*keys) >> 16] = True
+                alive &= met
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(alive))
+
+    return pairs.select("a", "b", "n", "m", *sides).mapInArrow(meet, "a long, b long")
+
+
+def _verify(pairs: DataFrame, plan: Plan) -> DataFrame:
+    """``a, b`` of the pairs (``a, b, x, y`` with packed tokens) that reach the threshold."""
+    num, den = plan.threshold.numerator, plan.threshold.denominator
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(k, 1 << 16) for whole in batches for k in range(0, whole.num_rows, 1 << 16)):
-            n = batch.num_rows
-            (x, of_x, size_x), (y, of_y, size_y) = flat(batch.column(2)), flat(batch.column(3))
-            least = plan.overlap(size_x, size_y)
-            alive = np.ones(n, bool)
-            for seed in range(1, plan.orders):
-                heads = []
-                for token, owner, size in ((x, of_x, size_x), (y, of_y, size_y)):
-                    live = alive[owner.astype(np.int64)]
-                    key = owner[live] << np.uint64(48) | mix(token[live], 100 + seed) & LOW48
-                    key.sort()
-                    own = (key >> np.uint64(48)).astype(np.int64)
-                    count = np.bincount(own, minlength=n)
-                    rank = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-                    head = key[rank <= (size - least)[own]]
-                    heads.append((head & LOW48, head >> np.uint64(48)))
-                alive &= shared(n, *heads) > 0
-            in_x, in_y = alive[of_x.astype(np.int64)], alive[of_y.astype(np.int64)]
-            common = shared(n, (x[in_x], of_x[in_x]), (y[in_y], of_y[in_y]))
-            good = pa.array(alive & (common * den >= num * (size_x + size_y - common)))
+            keys, sizes = [], []
+            for column in (2, 3):
+                packed, size = _flat(batch.column(column), PACKED)
+                raw = np.zeros((len(packed), 8), np.uint8)
+                raw[:, :PACKED] = packed
+                keys.append(np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(48) | raw.view(np.uint64).ravel())
+                sizes.append(size)
+            key = np.concatenate(keys)  # row and token make one sort key
+            key.sort()
+            common = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(48)).astype(np.int64), minlength=batch.num_rows)
+            good = pa.array(common * den >= num * (sizes[0] + sizes[1] - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(good)
 
     return pairs.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
@@ -351,22 +430,20 @@ def similar_sets(rows: DataFrame, plan: Plan, *, two_sides: bool = False) -> tup
     different sets that reach the threshold (of side 0 and side 1, if there are two sides).
     """
     classes, rare_class = _sketch(rows, plan)
-    free_shuffles(rows.sparkSession)
     candidates = cut_lineage(_candidates(_prefix_rows(rows, plan, classes, rare_class), plan, two_sides))
-    free_shuffles(rows.sparkSession)
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    few = ends.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    wanted = np.sort(ends.toPandas()["set"].to_numpy(np.int64)) if few else None
-    made = _members(rows, plan, classes, wanted)
-    if few:
-        made = cut_lineage(made)
-        members, sets = made.drop("tokens"), made.where("tokens IS NOT NULL")
-    else:
-        members, sets = cut_lineage(made.drop("tokens")), made.join(ends, "set", "left_semi")
-    sets = sets.select("set", "tokens").dropDuplicates(["set"])
-    end = lambda name, tokens: sets.select(F.col("set").alias(name), F.col("tokens").alias(tokens))
-    paired = candidates.join(end("a", "x"), "a").join(end("b", "y"), "b")
-    verified = cut_lineage(_verify(paired, plan))
-    del paired, end, sets, made, ends
-    free_shuffles(rows.sparkSession)
-    return members.distinct(), verified
+    made = cut_lineage(_members(rows, plan, _candidate_map(candidates)))
+    once = lambda *columns: made.where("tokens IS NOT NULL").select("set", *columns).dropDuplicates(["set"])
+
+    def joined(pairs: DataFrame, sets: DataFrame, names: dict[str, tuple[str, str]]) -> DataFrame:
+        """``pairs`` with columns of both their sets; ``names``: a column and what it is called at either end."""
+        for k, end in enumerate(("a", "b")):
+            pairs = pairs.join(sets.select(F.col("set").alias(end), *[F.col(c).alias(to[k]) for c, to in names.items()]), end)
+        return pairs
+
+    if plan.orders > 1:
+        heads = {"n": ("n", "m")} | {h: (f"x{k}", f"y{k}") for k, h in enumerate(_heads(plan), 1)}
+        first, candidates = candidates, cut_lineage(_meet_heads(joined(candidates, once("n", *_heads(plan)), heads), plan))
+        discard(first)
+    verified = cut_lineage(_verify(joined(candidates, once("tokens"), {"tokens": ("x", "y")}), plan))
+    discard(candidates)
+    return made.select("id", "side", "set").distinct(), verified

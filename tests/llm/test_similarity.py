@@ -1,10 +1,12 @@
 import random
 from collections import Counter
+from dataclasses import replace
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
-from quirework.llm import neardup, overlaps, setjoin
+from quirework.llm import common, neardup, overlaps, setjoin
 from quirework.llm.setjoin import Plan
 
 
@@ -35,10 +37,13 @@ def corpus(seed, longest):
 
 
 @pytest.mark.parametrize(
-    "plan, longest, bound",
-    [(neardup.QUESTION, 22, 80), (neardup.CHUNK, 30, 80), (Plan(Fraction(4, 5)), 40, 12), (Plan(Fraction(1, 2), depth=2, orders=3), 6, 80), (Plan(Fraction(1, 2), depth=2), 24, 8)],
-)
-def test_pairs_equal_brute_force(spark, monkeypatch, plan, longest, bound):
+    "plan, longest",
+    [
+        (neardup.QUESTION, 22), (neardup.CHUNK, 30), (Plan(Fraction(4, 5), combined_up_to=12), 40), (Plan(Fraction(1, 2), depth=2, orders=3), 6), (Plan(Fraction(1, 2), depth=2, combined_up_to=8), 24),
+        (replace(neardup.QUESTION, hot=3), 22), (replace(neardup.CHUNK, hot=2), 30), (Plan(Fraction(1, 2), depth=2, orders=3, combined_up_to=5, hot=1), 24),
+    ],
+)
+def test_pairs_equal_brute_force(spark, plan, longest):
     for seed in (1, 2):
         texts = corpus(seed, longest)
         frame = spark.createDataFrame(list(texts.items()), "id long, text string")
@@ -46,11 +51,25 @@ def test_pairs_equal_brute_force(spark, monkeypatch, plan, longest, bound):
         assert got == brute(texts, plan)
 
 
-def test_without_the_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(setjoin, "BROADCAST_KEYS", 0)
-    texts = corpus(5, 20)
-    frame = spark.createDataFrame(list(texts.items()), "id long, text string")
-    assert {tuple(r) for r in neardup.near_pairs(frame, "id", "text", neardup.QUESTION).collect()} == brute(texts, neardup.QUESTION)
+def test_orders_leave_fewer_candidates(spark):
+    """Marks of further orders drop pairs in the join, and prefixes drop more; none of the pairs sought is lost."""
+    rng = random.Random(4)
+    often = [f"c{k}" for k in range(40)]
+    texts = {i: " ".join(rng.sample(often, 14)) for i in range(300)}
+    rows = neardup._rows(spark.createDataFrame(list(texts.items()), "id long, text string"), "id", "text")
+    count = {}
+    for orders in (1, 3):
+        plan = replace(neardup.QUESTION, orders=orders)
+        classes, rare = setjoin._sketch(rows, plan)
+        prefixes = setjoin._prefix_rows(rows, plan, classes, rare).withColumns({"sig": F.lit(0).cast("long"), "sig2": F.lit(0).cast("long")})
+        count[orders] = setjoin._candidates(prefixes, plan, False).count()
+    assert count[3] < count[1]
+
+
+def test_hot_key_join(spark):
+    left, right = spark.range(50).selectExpr("id AS l", "if(id < 40, 1, id) AS k"), spark.range(60).selectExpr("id AS r", "if(id % 2 = 0, 1, id) AS k")
+    got = sorted(map(tuple, common.spread_join(left, right, "k", "l", hot=4).select("k", "l", "r").collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").select("k", "l", "r").collect())) and len(got) > 1000
 
 
 def test_defined_cases(spark):
