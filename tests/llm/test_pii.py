@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from quirework.llm import boosting, pii
+from tests.llm.letters import marked
 
 
 def test_boosting_learns_an_interaction():
@@ -43,6 +44,35 @@ def test_pieces(text, pieces):
     assert all(p not in done for _, p in pieces) and done.count("[") >= len(pieces)
 
 
+def test_letters_by_another_hand():
+    """Texts that share no sentence with the trees' writer."""
+    count = {k: [0, 0, 0] for k in pii.TYPES}  # both, true, found
+    for text, want in marked():
+        got = {(k, text[a:b]) for a, b, k in pii.detector().find([text])[0]}
+        for n, group in enumerate((got & want, want, got)):
+            for k, _ in group:
+                count[k][n] += 1
+    least = {"email": 0.99, "phone": 0.8, "id": 0.8, "address": 0.8, "name": 0.75}
+    assert all(both >= least[k] * true and both >= 0.95 * found for k, (both, true, found) in count.items()), count
+
+
+def test_the_writer_shares_no_sentence_with_the_tables(spark, sf_dir):
+    texts = [r.text for name in ("pdf_pages", "chunks") for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select("text").where("text IS NOT NULL").collect()]
+    corpus = "\n".join(texts).lower()
+    assert not [p for p in pii.PLAIN + pii.FOREIGN + [f[0] for f in pii.FRAMES_WITHOUT_CASE] if p.lower() in corpus]
+
+
+@pytest.mark.parametrize("n", [5, 112, 5000])
+def test_addresses_and_context_of_any_length(n):
+    user = "a" * n + ".b"
+    text = f"Write to {user}@mail.example today."
+    assert [(k, text[a:b]) for a, b, k in pii.detector().find([text])[0]] == [("email", f"{user}@mail.example")]
+    far = f"Passport {'-' * n} X1234567 was lost."
+    at = far.index("X1234567")
+    near = "Passport - X1234567 was lost."
+    assert pii.features(pii.Context(far), 2, at, at + 8) == pii.features(pii.Context(near), 2, 11, 19)
+
+
 @pytest.mark.parametrize("form", ["NFC", "NFD"])
 @pytest.mark.parametrize(
     "text, pieces",
