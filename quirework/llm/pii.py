@@ -95,18 +95,22 @@ LABELS = "姓名|联系人|签名|签字|申请人|负责人|患者|收件人|
 TITLES = "السيد|السيدة|الدكتور|الدكتورة|الأستاذ|الأستاذة|المهندس|المهندسة|الاسم|מר|גברת|ד״ר|שם|श्री|श्रीमती|सुश्री|डॉ\\.|नाम|นางสาว|นาย|นาง|คุณ|ดร\\.|ชื่อ"
 #: Signs of scripts without case, which the generators for them need.
 CASELESS = re.compile(r"[\u0590-\u06ff\u0900-\u097f\u0e00-\u0e7f\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3]")
-#: What a text must hold (any of it) for a generator to be worth running; names by capitals always run.
+#: What a text must hold (any of it) for a generator to be worth running.
 NEEDS = {
-    0: ["@", "at", "AT", "At"], 4: "straße strasse str. gasse weg platz allee ring damm ufer steig straat laan plein gracht kade singel dreef gata gate veien vegen vägen torget gränd gade vej allé katu kuja utca Straße Strasse Gasse Weg Platz Allee".split(),
-    5: "Calle Avenida Avda Paseo Plaza Camino Via Piazza Rua C/".split(), 6: "rue avenue boulevard bd place chemin impasse allée quai route cours".split(), 9: [","], 11: [","], 15: "ul. al. pl. ulica улица ул. проспект пр-т переулок пер. площадь пл. вул. οδός".split(),
+    3: "Street Avenue Road Lane Court Close Drive Boulevard Place Square Way Terrace Crescent Alley Row St Ave Rd Ln Ct Cl Dr Blvd Pl Sq Ter".split(), 4: "straße strasse str. gasse weg platz allee ring damm ufer steig straat laan plein gracht kade singel dreef gata gate veien vegen vägen torget gränd gade vej allé katu kuja utca Straße Strasse Gasse Weg Platz Allee".split(),
+    5: "Calle Avenida Avda Paseo Plaza Camino Via Piazza Rua C/".split(), 6: "rue avenue boulevard bd place chemin impasse allée quai route cours".split(), 15: "ul. al. pl. ulica улица ул. проспект пр-т переулок пер. площадь пл. вул. οδός".split(),
 }
+#: Generators of names by capitals; they are tried where a capital word stands before another or before a particle. Those of
+#: the second group need capitals in a row.
+BY_CAPITALS, IN_CAPITALS = {7, 8, 9, 10, 11, 12, 13}, {10, 11, 12}
+ANCHOR = re.compile(rf"\b(?:{PAR}{S})?[{UP}][^\s,]*,?\s{{1,4}}(?=[{UP}]|{PAR}\s|VAN|VON|DE|DI|DA|DU)|(?<![\w.])[{UP}][{MARK}]*\.(?=[{UP}])")
 UPPER_RUN = re.compile(rf"[{UP}][{UP}{MARK}]{{3}}")
 
 #: Type and pattern of each generator; the order numbers them.
 GENERATORS = [
     ("email", re.compile(r"@|[(\[{<]\s?at\s?[)\]}>]|\sat\s(?=[\w\-.]+\s?(?:[(\[{<]|\s)dot[)\]}>\s])", re.I)),
     ("phone", re.compile(r"(?<![\w.])(?:\+|\(|\+\()?\d[\d]*\)?(?:[\s.\-/]{0,2}\(?\d+\)?){1,8}")),
-    ("id", re.compile(r"(?<![\w.\-+/])(?:\d{3}[\- ]\d{2}[\- ]\d{4}|\d{6,8}[\-+ ]\d{3,5}|[A-Z]{2}(?:\s?\d{2}){3}\s?[A-Z]|[A-Z]{1,2}\d{2}[A-Z]\d{5,8}[A-Z]?|\d{8}\s?-?[A-Z]|[A-Z]\s?-?\d{7}\s?-?[A-Z]|[A-Z]{1,3}\d{6,9}|\d{9,12}|\d{17}[\dXx]|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{4} \d{4} \d{4}|\d{3} \d{3} \d{4}|[A-Z]{5}\d{4}[A-Z]|[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|[12] \d{2} \d{2} \d{2} \d{3} \d{3} \d{2})(?![\w/]|[\-.]\d)")),
+    ("id", re.compile(r"(?=[A-Z\d][A-Z\d\- ]{2})(?<![\w.\-+/])(?:\d{3}[\- ]\d{2}[\- ]\d{4}|\d{6,8}[\-+ ]\d{3,5}|[A-Z]{2}(?:\s?\d{2}){3}\s?[A-Z]|[A-Z]{1,2}\d{2}[A-Z]\d{5,8}[A-Z]?|\d{8}\s?-?[A-Z]|[A-Z]\s?-?\d{7}\s?-?[A-Z]|[A-Z]{1,3}\d{6,9}|\d{9,12}|\d{17}[\dXx]|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{4} \d{4} \d{4}|\d{3} \d{3} \d{4}|[A-Z]{5}\d{4}[A-Z]|[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|[12] \d{2} \d{2} \d{2} \d{3} \d{3} \d{2})(?![\w/]|[\-.]\d)")),
     ("address", re.compile(rf"(?<![\w\-.])(?:{UNIT}\s?\d+\w?,{S})?{NUM}{S}(?:[NSEW]\.{S})?(?:{CAP}{S}){{1,3}}(?:{STREET})(?!\w)(?:,{S}{UNIT}\s?\d+\w?)?")),
     ("address", re.compile(rf"\b{CAP}(?:{S}|-)?(?:(?<=[{LOW[:-1]}])(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|damm|ufer|steig|straat|laan|plein|gracht|kade|singel|dreef|gata|gaten|gatan|gate|veien|vegen|vägen|torget|gränd|gade|vej|allé|katu|kuja|utca)|(?<=\s)(?:Straße|Strasse|Gasse|Weg|Platz|Allee))\s{{1,3}}\d{{1,4}}(?:[a-z]|\s[a-d](?=[,.;)]|$))?(?!\w)(?:,{S}(?:Wohnung|Whg\.)\s?\d+)?")),
     ("address", re.compile(rf"\b(?:Calle|Avenida|Avda?\.|Paseo|Plaza|Camino|Via|Viale|Piazza|Rua|C/){S}(?:(?:de|del|la|las|los|di|da|do){S}){{0,2}}{CAP}(?:{S}{CAP})?,?{S}(?:n\.?º?{S})?\d{{1,4}}\s?[a-z]?(?!\w)(?:,{S}(?:piso|apto\.?|int\.)\s?\d+\w?)?")),
@@ -151,15 +155,21 @@ def user_start(text: str, at: int) -> int:
 
 
 def _worth(text: str) -> list[int]:
-    """The generators that can find something in ``text``."""
-    skip = {g for g, words in NEEDS.items() if not any(w in text for w in words)}
-    if not UPPER_RUN.search(text):
-        skip |= {10, 11, 12}
+    """The generators that can find something in ``text``, but for those of names by capitals."""
+    skip = {g for g, words in NEEDS.items() if not any(w in text for w in words)} | BY_CAPITALS
+    low = text.lower()
+    if "@" not in low and "dot" not in low and not any(f"at{blank}{close}" in low for blank in ("", " ") for close in ")]}>"):
+        skip.add(0)
     if text.isascii() or not CASELESS.search(text):
         skip |= {14, 16}
     return [g for g in range(len(GENERATORS)) if g not in skip]
 
 
+def _starts(text: str) -> tuple[list[int], bool]:
+    """Where a name by capitals may begin, and whether capitals stand in a row."""
+    return [m.start() for m in ANCHOR.finditer(text)], bool(UPPER_RUN.search(text))
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, int]]:
     """``(generator, start, end)`` of every proposed span."""
     for g in _worth(text):
@@ -182,16 +192,28 @@ def candidates(text: str) -> Iterator[tuple[int, int, int]]:
                     a += 1
                 while not text[b - 1].isdigit():
                     b -= 1
-            elif g in OVERLAPPING:
-                first = WORD.match(text, a)
+            yield from _whole(text, g, a, b)
+    starts, upper = _starts(text)
+    free = dict.fromkeys(sorted(BY_CAPITALS if upper else BY_CAPITALS - IN_CAPITALS), 0)  # where each may go on
+    for at in starts:
+        for g, since in free.items():
+            if at < since or not (m := GENERATORS[g][1].match(text, at)):
+                continue
+            free[g] = m.end()
+            if g in OVERLAPPING:
+                first = WORD.match(text, at)
+                free[g] = first.end() if first else at + 1
                 if first and first.group().split("-")[0].lower() in SKIPPED:
-                    at = first.end()
                     continue
-                at = first.end() if first else at
-            if m := MARKS.match(text, b):  # a decomposed last letter
-                b = m.end()
-            if text.count("\n", a, b) < 2:  # a span never crosses a blank line
-                yield g, a, b
+            yield from _whole(text, g, at, m.end())
+
+
+def _whole(text: str, g: int, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+    """A span with the mark of a decomposed last letter; none that crosses a blank line."""
+    if m := MARKS.match(text, b):
+        b = m.end()
+    if text.count("\n", a, b) < 2:
+        yield g, a, b
 
 
 def _word_class(word: str) -> int:
@@ -414,7 +436,7 @@ class Writer:
             f"The {w()} {c()} {r.choice(after)} says {n()} of {n()}.", f"{thing} {n(1, 20)}.{d(2)}.{d(3)}.{d(1)} {self.of('place')} {c()}.", f"{thing} {d(4)}+{d(2)}.{d(2)} @ {thing} {n()}.", f"{thing} {n()} of {n()}.", f"{thing} {d(3)}-{d(2)}-{d(4)} {r.choice(PLAIN)}.", f"{thing} {r.choice(['no.', 'number', 'Nr.', ''])} {d(4)}-{d(4)}-{d(4)} {self.of('place')} {w()}.",
             f"{w()} {c()} {self.code()} {w()} {c()} {self.code()}", f"The {w()} {w()} {r.choice(after)} {r.choice(PLAIN)}.", f"{c()} {firm} {r.choice(PLAIN)}, {d(2)}.{d(2)}.20{d(2)}.", f"{thing} {n(1, 9)}.{d(2)} {d(4)}/{d(4)} {d(2)}:{d(2)}.", f"{w()}, {w()} and {w()} {d(3)} {d(3)} {d(3)}.", f"{self.of('title', True)} {self.surname()} {r.choice(PLAIN)}.",
             f"{thing} {d(8)}, {d(3)} x {thing} {d(3)}-{d(2)}-{d(4)}.", f"{thing} {self.code()} {self.of('place')} {w()} {w()}.", f"{w()}, {w()} and {w()} {r.choice(PLAIN)}.", f"{self.of('place', True)} {w()} {w()} {street} {r.choice(PLAIN)}.", f"{d(3)} {d(3)} {d(4)} {r.choice(['cycles', 'turns', 'units', 'visits'])}.", f"{thing} {d(3)}-{d(3)}-{d(4)} {r.choice(PLAIN)}.",
-            f"{' '.join(r.sample(TITLED, r.randint(2, 4)))} {r.choice(PLAIN)}.", f"{w()} {w()} {c()} {r.choice(PLAIN)}.", f"{r.choice(TITLED)} {w()} {firm} {r.choice(PLAIN)}.", f"{thing} {d(11)}; {thing} {d(10)}.",
+            f"{' '.join(r.sample(TITLED, r.randint(2, 4)))} {r.choice(PLAIN)}.", f"{w()} {w()} {c()} {r.choice(PLAIN)}.", f"{r.choice(TITLED)} {w()} {firm} {r.choice(PLAIN)}.", f"{thing} {d(11)}; {thing} {d(10)}.", f"{r.choice(PLAIN).capitalize()}, {thing} {r.choice(['is ', '', ''])}97{r.choice('89')}-{d(1)}-{d(2)}-{d(6)}-{d(1)}.", f"{r.choice(PLAIN).capitalize()} {d(3)}-{d(1)}-{d(3)}-{d(5)}-{d(1)}.",
         ])]
 
     def personal(self) -> list:
