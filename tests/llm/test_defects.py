@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from quirework.llm import defects
+from tests.llm.pairs import ASKED, held_out
 
 
 @pytest.fixture(scope="module")
@@ -14,8 +15,7 @@ def rows(spark, sf_dir):
 
 @pytest.fixture(scope="module")
 def field(rows):
-    sequences, gold = defects.examples(rows)
-    return defects.Field().fit(sequences, gold)
+    return defects.train(rows)
 
 
 def test_likelihood_by_enumeration():
@@ -36,12 +36,32 @@ def test_held_out_accuracy(rows):
     half = len(rows) // 2
     rng = random.Random(1)
     rng.shuffle(rows := list(rows))
-    field = defects.Field().fit(*defects.examples(rows[:half]))
-    sequences, gold = defects.examples(rows[half:], seed=11)
+    field = defects.train(rows[:half])
+    sequences, gold = defects.examples(rows[half:], seed=11, known=field.known)
     pairs = [(a, b) for y, z in zip(field.decode(sequences), gold) for a, b in zip(y, z)]
     assert sum(a == b for a, b in pairs) > 0.95 * len(pairs)
 
 
+def test_pairs_by_another_hand(field):
+    """Pairs that share nothing with the rows and the writer: at least 0.9 of each type, and 0.9 of the sound ones."""
+    pairs, count = held_out(), {}
+    assert len(pairs) >= 200
+    for (_, _, want), got in zip(pairs, defects.judge(field, [(q, a) for q, a, _ in pairs])):
+        right, total = count.get(want, (0, 0))
+        count[want] = right + (got == want), total + 1
+    assert all(right >= 0.9 * total for right, total in count.values()), count
+
+
+@pytest.mark.parametrize("question, answer, defect", ASKED)
+def test_short_and_foreign_answers(field, question, answer, defect):
+    assert defects.judge(field, [(question, answer)]) == [defect]
+
+
+@pytest.mark.parametrize("text, lang", [("Vattnet är kallt och djupt", "sv"), ("Gdzie jest moja książka", "pl"), ("Wo ist mein Buch geblieben", "de"), ("свежий хлеб", "cyrillic"), ("新鲜的面包", "han"), ("新しいパンです", "ja"), ("빵이 있다", "ko"), ("12 34", None)])
+def test_languages(text, lang):
+    assert defects.language(defects.WORD.findall(text.lower()), text)[0] == lang
+
+
 Q = "Which lane taper must Vodikonet keep at Lurabend so that Pasimold meets entry KX12ABC?"
 GOOD = "The night crew at Vodikonet decides, and the note TX12ABC says the lane taper could stay in place for 85 days."
 
@@ -66,7 +86,7 @@ def test_cases(field, question, answer, defect):
 def test_many_signs_after_the_last_word(spark, field, sign):
     few, many = (f"At Lurabend the limit is 42 m {sign * n}".rstrip() for n in (9, 300))
     question = defects.Question(Q)
-    assert defects.features(question, [few]) == defects.features(question, [many])
+    assert defects.features(question, [few]) == defects.features(question, [many])  # dots count as one kind from two on
     defect = defects.judge(field, [(Q, few)])[0]
     rows = [(1, Q, many), (2, Q, "Q" * 90 + sign * 80), (3, Q, "")]
     got = {(r.record_seq, r.defect) for r in defects.find_defects(spark.createDataFrame(rows, "record_seq long, question string, answer string"), field).collect()}
