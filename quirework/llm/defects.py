@@ -138,6 +138,7 @@ WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 CLAUSE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+(?=\S)|(?<=[。！？])|[\r\n]+")
 FAR_SCRIPT = re.compile(r"[Ͱ-῿Ⰰ-퟿豈-﷿ﹰ-ﾟ]")
 PREFIX = re.compile(r"^\W*(?:answer|question|response|q|a|antwort|frage|réponse|question|respuesta|pregunta)\s*:\s*", re.I)
+SIGNS, DIGIT = re.compile(r"[\W_]+"), re.compile(r"\d")
 CODE = re.compile(r"(?=\w*\d)(?=\w*[A-Z])\w+$")
 
 _LANG: dict[str, list[str]] = {}
@@ -299,7 +300,7 @@ def features(question: Question, parts: list[str], known: frozenset[str] | set[s
         names += ["l" + relation, "lx%s%d" % (relation, min(count, 4)), "lz%d" % margin, "lw%d%d" % (margin, count > 5), *("ly%d%d" % (k, margin > 1) for k in range(3))]
         cues = {w for w in tokens if w in _CUE}
         first = any(w in _FIRST for w in tokens)
-        entity = any(c.isdigit() for c in clause) or len(re.findall(r"(?<=[a-z,;] )[A-Z][a-z]{3,}", clause)) > 0
+        entity = DIGIT.search(clause) is not None or len(re.findall(r"(?<=[a-z,;] )[A-Z][a-z]{3,}", clause)) > 0
         names += ["c" + w for w in cues]
         names += ["cn%d%d%d" % (min(len(cues), 4), first, entity), "ce%d%d" % (len(cues) * 3 >= count, entity), "n%d" % min(count.bit_length(), 6)]
         last = k == n - 1
@@ -608,7 +609,7 @@ def examples(rows: list[tuple[str, str]], seed: int = 7, known: set[str] | None
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    bare = "".join(c for c in answer.lower() if c.isalnum())
+    bare = SIGNS.sub("", answer.lower())
     return not bare or bare in STAND_INS
 
 
