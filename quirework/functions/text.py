@@ -14,15 +14,23 @@ WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\x1c-\x1f]"
 BEFORE_WORD, AFTER_WORD = rf"(?<!{WORD})", rf"(?!{WORD})"
 
-# What is masked, in this order.
+# What is masked, in this order. What may not stand before a match is looked up after its first signs, so that
+# a text is scanned for these and not for the places before them.
 MASKS = {
     # a run of address signs is read once, from its beginning or from where the last match ended
     "email": (rf"(?:\G|(?<![\p{{L}}\p{{N}}_.+\-]))[\p{{L}}\p{{N}}_.+\-]++@[\p{{L}}\p{{N}}_\-]+\.[\p{{L}}\p{{N}}_.\-]+", "[EMAIL]"),
-    "phone": (rf"(?U){BEFORE_WORD}\p{{Nd}}{{3}}[-.\s\x1c-\x1f]\p{{Nd}}{{3}}[-.\s\x1c-\x1f]\p{{Nd}}{{4}}{AFTER_WORD}", "[PHONE]"),
-    "ssn": (rf"{BEFORE_WORD}\p{{Nd}}{{3}}-\p{{Nd}}{{2}}-\p{{Nd}}{{4}}{AFTER_WORD}", "[SSN]"),
-    "aws": (rf"{BEFORE_WORD}AKIA[0-9A-Z]{{16}}{AFTER_WORD}", "[AWS_KEY]"),
-    "secret": (rf"{BEFORE_WORD}(?:sk|pk)-[A-Za-z0-9]{{16,}}{AFTER_WORD}", "[SECRET]"),
+    "phone": (rf"(?U)\p{{Nd}}{{3}}(?<!{WORD}\p{{Nd}}{{3}})[-.\s\x1c-\x1f]\p{{Nd}}{{3}}[-.\s\x1c-\x1f]\p{{Nd}}{{4}}{AFTER_WORD}", "[PHONE]"),
+    "ssn": (rf"\p{{Nd}}{{3}}(?<!{WORD}\p{{Nd}}{{3}})-\p{{Nd}}{{2}}-\p{{Nd}}{{4}}{AFTER_WORD}", "[SSN]"),
+    "aws": (rf"AKIA(?<!{WORD}AKIA)[0-9A-Z]{{16}}{AFTER_WORD}", "[AWS_KEY]"),
+    "secret": (rf"[sp]k-(?<!{WORD}[sp]k-)[A-Za-z0-9]{{16,}}{AFTER_WORD}", "[SECRET]"),
 }
+#: What a text must hold (any of it) to be scanned for a mask at all.
+SIGNS = {"email": ["@"], "aws": ["AKIA"], "secret": ["sk-", "pk-"]}
+
+
+def let(value: Column, function) -> Column:
+    """``function`` of a value that is computed once, however often the function names it."""
+    return F.element_at(F.transform(F.array(value), function), 1)
 
 
 def with_computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -44,12 +52,12 @@ def py_words(text: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition; texts that are pure ASCII never reach Python's normaliser."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+    """Compatibility composition. Texts that are pure ASCII go to Python's normaliser as nulls, and stay as they are."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def strip_tags(text: Column) -> Column:
@@ -58,7 +66,16 @@ def strip_tags(text: Column) -> Column:
 
 def mask(text: Column, kind: str) -> Column:
     pattern, placeholder = MASKS[kind]
-    return F.regexp_replace(text, pattern, placeholder)
+    if kind not in SIGNS:
+        return F.regexp_replace(text, pattern, placeholder)
+
+    def masked(t: Column) -> Column:
+        held = t.contains(SIGNS[kind][0])
+        for sign in SIGNS[kind][1:]:
+            held = held | t.contains(sign)
+        return F.when(held, F.regexp_replace(t, pattern, placeholder)).otherwise(t)
+
+    return let(text, masked)
 
 
 def collapse_blanks(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -38,6 +39,35 @@ def tiktoken_counter(name: str = "cl100k_base") -> Counter:
     return count
 
 
+# How a text is cut before pairs of bytes are merged.
+PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@lru_cache(maxsize=4)
+def _encoding_of(path: str, pattern: str):
+    import tiktoken
+
+    with open(path, "rb") as fh:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, fh)}
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def bpe_counter(path: str, pattern: str = PRE_TOKENS) -> Counter:
+    """Counts by the byte-pair ranks of a file (a token in base64 and its rank on each line), which executors read at
+    ``path``. Text that looks like a special token counts as plain text."""
+
+    @F.pandas_udf(IntegerType())
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoding = _encoding_of(path, pattern)
+        for texts in batches:
+            whole = texts.notna()
+            out = pd.Series([None] * len(texts), dtype="Int32")
+            out[whole.to_numpy()] = [len(ids) for ids in encoding.encode_ordinary_batch(texts[whole].tolist(), num_threads=1)]
+            yield out
+
+    return count
+
+
 def pick_counter(name: str = "cl100k_base") -> tuple[str, Counter]:
     """The encoding if its vocabulary can be had, else the word counter, and the name of which it is."""
     try:

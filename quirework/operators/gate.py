@@ -1,13 +1,13 @@
 """The quality gate: ordered row checks and exact first-accepted dedup.
 
 Row checks do not depend on other rows, and only rows that pass all of them claim a key. So the sequential
-rule "a key is taken by the first accepted row" is a minimum over the rows of a key that pass: one shuffle on
-the key, no total order.
+rule "a key is taken by the first accepted row" is a minimum over the rows of a key that pass. It is summed up before
+any shuffle, so neither a hot key nor the rows that fail early gather in one task, and there is no total order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.config import RunConfig
@@ -66,10 +66,12 @@ def verdicts(records: DataFrame, config: RunConfig = RunConfig(), count: Counter
         .when(F.col("__total") > config.max_seq_tokens, F.format_string("exceeds max_seq_tokens (%d > %d)", F.col("__total"), F.lit(config.max_seq_tokens)))
     )
     df = df.withColumn("__late", late)
-    passes = F.col("__early").isNull() & F.col("__late").isNull()
-    first = F.min(F.when(passes, F.col("record_seq"))).over(Window.partitionBy("q_norm", "a_norm"))
-    reason = F.coalesce("__early", F.when(first < F.col("record_seq"), "duplicate question/answer pair"), "__late")
-    return df.withColumn("reject_reason", reason).drop("__asked", "__bare", "__short", "__meta", "__early", "__late", "__a", "__total")
+    # only keys that repeat and are claimed come back: few rows, mostly sent to all tasks by the adaptive plan
+    claims = df.where("__early IS NULL").groupBy("q_norm", "a_norm").agg(F.min(F.when(F.col("__late").isNull(), F.col("record_seq"))).alias("__first"), F.count("*").alias("__n"))
+    claims = claims.where("__n > 1 AND __first IS NOT NULL").select(F.col("q_norm").alias("__q"), F.col("a_norm").alias("__k"), "__first")
+    df = df.join(claims, (F.col("q_norm") == F.col("__q")) & (F.col("a_norm") == F.col("__k")) & F.col("__early").isNull(), "left")
+    reason = F.coalesce("__early", F.when(F.col("__first") < F.col("record_seq"), "duplicate question/answer pair"), "__late")
+    return df.withColumn("reject_reason", reason).drop("__asked", "__bare", "__short", "__meta", "__early", "__late", "__a", "__total", "__q", "__k", "__first")
 
 
 def gate(records: DataFrame, config: RunConfig = RunConfig(), count: Counter = word_counter) -> tuple[DataFrame, DataFrame]:

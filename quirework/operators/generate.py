@@ -124,11 +124,12 @@ def skip_reason(found: Column) -> Column:
 def build_candidates(chunks: DataFrame, config: RunConfig = RunConfig(), generator: Generator = extractive_generator) -> tuple[DataFrame, DataFrame]:
     """``(candidates, primary)``: raw records with ``record_seq``, and every primary response with its skip reason.
 
+    Requests are told by chunk number and variant, since chunks of two files of one name share their ids.
     Paraphrases are asked for from the question as generated, also where the primary later fails the gate; those
     that are empty or equal the question but for case are left out.
     """
     asked = chunks.withColumns({
-        "system": prompts.system_prompt(F.col("chunk_seq")), "prompt": prompts.primary_prompt(F.col("text"), F.col("is_table")), "request_id": F.concat("chunk_id", F.lit("#0")),
+        "system": prompts.system_prompt(F.col("chunk_seq")), "prompt": prompts.primary_prompt(F.col("text"), F.col("is_table")), "request_id": F.concat(F.col("chunk_seq").cast("string"), F.lit("#0")),
     })
     primary = cut_lineage(generator(asked, config)).join(asked.drop("text", "prompt"), "request_id").withColumn("skip_reason", skip_reason(F.col("object")))
     used = primary.where("skip_reason IS NULL").withColumns({"question": F.col("object")["question"], "answer": F.col("object")["answer"]})
@@ -138,7 +139,7 @@ def build_candidates(chunks: DataFrame, config: RunConfig = RunConfig(), generat
     records = used.select(seq(F.lit(0)), *keep)
     if n > 0:
         again = used.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(n))))
-        again = again.withColumns({"prompt": prompts.paraphrase_prompt(F.col("question"), F.col("answer")), "request_id": F.concat("chunk_id", F.lit("#"), F.col("variant").cast("string"))}).drop("object", "tokens")
+        again = again.withColumns({"prompt": prompts.paraphrase_prompt(F.col("question"), F.col("answer")), "request_id": F.concat(F.col("chunk_seq").cast("string"), F.lit("#"), F.col("variant").cast("string"))}).drop("object", "tokens")
         told = cut_lineage(generator(again, config)).select("request_id", F.coalesce(F.col("object")["question"], F.lit("")).alias("__told"))
         varied = again.join(told, "request_id").where((F.col("__told") != "") & (F.lower("__told") != F.lower("question")))
         records = records.unionByName(varied.withColumn("question", F.col("__told")).select(seq(F.col("variant")), *keep))

@@ -58,8 +58,8 @@ def chunk_rows(spark, n):
 def test_replayed_generation(spark):
     good = lambda q, a="an answer": json.dumps({"question": q, "answer": a})
     recorded = {
-        "b_c00000#0": [(good("Q0?"), 5)], "b_c00000#1": [(good("q0?"), 1)], "b_c00001#0": [("{bad", 2), (good("Q1?"), 3)], "b_c00001#1": [(good("Other?"), 1)], "b_c00002#0": [("[1]", 1), (good("Q2?"), 1)], "b_c00003#0": [("{bad", 1), ("{bad", 1)],
-        "b_c00004#0": [("{}", 1)], "b_c00005#0": [('{"question": "q"}', 1)], "b_c00006#0": [('{"question": null, "answer": "a"}', 1)], "b_c00007#0": [(good("Q7?", "Insufficient Context."), 1)], "b_c00008#0": [(None, 0), (good("Q8?"), 4)],
+        "0#0": [(good("Q0?"), 5)], "0#1": [(good("q0?"), 1)], "1#0": [("{bad", 2), (good("Q1?"), 3)], "1#1": [(good("Other?"), 1)], "2#0": [("[1]", 1), (good("Q2?"), 1)], "3#0": [("{bad", 1), ("{bad", 1)],
+        "4#0": [("{}", 1)], "5#0": [('{"question": "q"}', 1)], "6#0": [('{"question": null, "answer": "a"}', 1)], "7#0": [(good("Q7?", "Insufficient Context."), 1)], "8#0": [(None, 0), (good("Q8?"), 4)],
     }
     records, primary = generate.build_candidates(chunk_rows(spark, 9), RunConfig(), generate.replay_generator(recorded))
     assert {r.record_seq: r.question for r in records.collect()} == {0: "Q0?", 2: "Q1?", 3: "Other?", 4: "Q2?", 12: "None", 16: "Q8?"}

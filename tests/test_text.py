@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from quirework.config import RunConfig
 from quirework.functions import text as T
-from quirework.functions.tokens import pick_counter
+from quirework.functions.tokens import bpe_counter, pick_counter
 from quirework.operators import chunks as C
 from quirework.operators import gate as G
 from quirework.sinks import export
@@ -62,8 +62,13 @@ def test_sections_run_over_pages(spark):
 
 
 def packed(spark, atoms, target=10, overlap=3):
-    items = F.array(*[F.struct(F.lit(k).alias("page"), F.lit(t).alias("text"), F.lit(n).alias("n")) for k, (t, n) in enumerate(atoms)]) if atoms else F.array().cast("array<struct<page:int,text:string,n:int>>")
-    return [r["text"] for r in spark.range(1).select(C.pack(items, target, overlap).alias("p")).first()["p"]]
+    rows = [(d, s, k, t, n) for d in "xy" for s in (0, 1) for k, (t, n) in enumerate(atoms)]
+    units = spark.createDataFrame(rows, "source_doc string, section_id int, page_num int, text string, n int")
+    config = RunConfig(target_chunk_tokens=target, chunk_overlap_pct=overlap / target)
+    found = [(r.source_doc, r.section_id, r.pos, r.text, r.page_start) for r in C.pack_sections(units, config).collect()]
+    own = [[f[3] for f in sorted(found) if f[:2] == (d, s)] for d in "xy" for s in (0, 1)]
+    assert all(o == own[0] for o in own) and all(atoms[f[4]][0] == f[3].split()[0] for f in found)
+    return own[0]
 
 
 def test_packing(spark):
@@ -93,6 +98,30 @@ def test_packing_equals_a_loop(spark):
         assert packed(spark, atoms, 14, 5) == out
 
 
+def test_files_of_one_name(spark):
+    """Two files of one name are two documents, with chunks of their own."""
+    body = "\n\n".join(" ".join(f"w{k}" for k in range(45)) for _ in range(3))
+    pages = spark.createDataFrame([(d, "a.pdf", 1, body, []) for d in (0, 1)] + [(2, "b.pdf", 1, body, ["t " * 50])], "doc_seq int, source_doc string, page_num int, text string, tables array<string>")
+    rows = C.number_chunks(C.chunk_pages(pages), pages.select("doc_seq")).orderBy("chunk_seq").collect()
+    assert [(r.doc_seq, r.chunk_id, r.is_table) for r in rows] == [(0, "a_c00001", False), (1, "a_c00001", False), (2, "b_c00001", True), (2, "b_c00002", False)]
+    assert [r.chunk_seq for r in rows] == [0, 1, 2, 3]
+
+
+def test_sums_before(spark):
+    rows = [(g, o, v) for g in (None, 1, 2) for o, v in ((0, 1), (5, 2), (1023, 3), (1024, 4), (5000, 5))]
+    found = C.prefix_sums(spark.createDataFrame(rows, "g int, o int, v int"), ["g"], "o", "v", "before").collect()
+    assert {(r.g, r.o): r.before for r in found} == {(g, o): sum(v for h, p, v in rows if h == g and p < o) for g, o, _ in rows}
+
+
+def test_long_paragraphs_become_sentences_and_lines(spark):
+    said = "One two three. Four five six. " * 3
+    lines = "a b c d e f g h\ni j k l m n o p"
+    rows = [("d", 1, 0, 0, "short one"), ("d", 1, 0, 1, said.strip()), ("d", 1, 0, 2, lines), ("d", 1, 0, 3, "x " * 12)]
+    found = C.atoms(spark.createDataFrame(rows, "source_doc string, page_num int, piece int, para int, text string").selectExpr("*", "0 AS section_id"), RunConfig(target_chunk_tokens=6))
+    texts = [r.text for r in found.orderBy("para", "sent", "line").collect()]
+    assert texts == ["short one", *["One two three.", "Four five six."] * 3, "a b c d e f g h", "i j k l m n o p", "x " * 12]
+
+
 def test_chunk_ids_and_bounds(spark):
     config = RunConfig(target_chunk_tokens=60, min_chunk_tokens=40, max_chunk_tokens=70)
     body = "\n\n".join(" ".join(f"w{k}" for k in range(45)) for _ in range(3))
@@ -131,10 +160,35 @@ def test_names(spark, name, limit, want):
     assert one(spark, name, lambda c: T.sanitize_name(c, limit)) == want == export.safe_name(name, limit)
 
 
+def test_gate_token_bound(spark):
+    schema = "record_seq long, system string, question string, answer string, source_doc string, page_start int, page_end int, chunk_id string, chunk_token_count int, is_table boolean"
+    rows = [(1, "s", "What is it?", "word " * 2044, "d", 1, 1, "c", 0, False), (2, "s", "What is it?", "word " * 2045, "d", 1, 1, "c", 0, False)]
+    got = {r.record_seq: r.reject_reason for r in G.verdicts(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: None, 2: "exceeds max_seq_tokens (2049 > 2048)"}
+
+
+def test_a_hot_key_and_rows_without_key(spark):
+    schema = "record_seq long, system string, question string, answer string, source_doc string, page_start int, page_end int, chunk_id string, chunk_token_count int, is_table boolean"
+    rows = [(k, "s", "什么?" if k % 3 else "What is it?", "答案 " * 12 if k % 3 else "word " * 12, "d", 1, 1, "c", 0, False) for k in range(60)]
+    got = {r.record_seq: r.reject_reason for r in G.verdicts(spark.createDataFrame(rows, schema)).collect()}
+    assert len(got) == 60 and got[0] is None and {got[k] for k in range(3, 60, 3)} == {"duplicate question/answer pair"} and {got[k] for k in range(60) if k % 3} == {"empty after normalization"}
+
+
 def test_run_label():
     assert export.run_label(["/a/HCM2016.pdf", "b.pdf", "c.pdf"], "gemma4:12b") == "HCM2016_plus2_gemma4_12b"
 
 
+def test_byte_pair_counter(spark, sf_dir):
+    """Counts by ranks from a file equal those of another library on whole pages."""
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    other.encode_special_tokens = True
+    pages = spark.read.parquet(f"{sf_dir}/pdf_pages.parquet").select("text").distinct()
+    rows = pages.select("text", bpe_counter("/opt/tokenizers/byte_bpe_50k.tiktoken")(F.col("text")).alias("n")).collect()
+    assert len(rows) > 100 and all(r.n == (None if r.text is None else len(other.encode(r.text, add_special_tokens=False).ids)) for r in rows)
+
+
 def test_tokens(spark):
     name, count = pick_counter()
     assert name in ("words", "cl100k_base") and one(spark, "two  words", count) == 2
