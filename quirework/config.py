@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass
 
 
+# Names and defaults are written to run_info.json and decide results.
 @dataclass(frozen=True)
 class RunConfig:
     # generation service

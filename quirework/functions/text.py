@@ -152,10 +152,14 @@ def mark_hard_cuts(text: Column) -> Column:
     return F.regexp_replace(text, r"(?md)^[A-Z][A-Z0-9 \-:]{4,59}$", "\n\n\n$0")
 
 
+#: What is replaced in names, in this order.
+SAFE_STEPS = [(r'[<>:"/\\|?*\x00-\x1f]', "_"), (r"[\s\x1c-\x1f]+", "_"), (r"_{2,}", "_")]
+
+
 def sanitize_name(name: Column, limit: int) -> Column:
     """A name that is safe in paths, cut at ``limit``; ``run`` if nothing is left."""
-    name = F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_")
-    name = F.regexp_replace(F.regexp_replace(name, rf"(?U){SPACE}+", "_"), r"_{2,}", "_")
+    for pattern, put in SAFE_STEPS:
+        name = F.regexp_replace(name, f"(?U){pattern}", put)
     name = F.substring(F.regexp_replace(name, r"\A[._]+|[._]+\z", ""), 1, limit)
     return F.coalesce(F.nullif(name, F.lit("")), F.lit("run"))
 

@@ -7,6 +7,7 @@ import re
 import zipfile
 from collections.abc import Iterable, Iterator
 from datetime import datetime
+from itertools import chain, islice
 from pathlib import Path
 from xml.sax.saxutils import escape
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.config import RunConfig
+from quirework.functions.text import SAFE_STEPS
 from quirework.operators.split import NAMES
 
 
@@ -21,15 +23,24 @@ def metadata() -> Column:
     return F.struct("source_doc", "page_start", "page_end", "chunk_id").alias("metadata")
 
 
+def _alpaca() -> list[Column]:
+    return [F.col("question").alias("instruction"), F.lit("").alias("input"), F.col("answer").alias("output"), metadata()]
+
+
+def _chatml() -> list[Column]:
+    said = lambda role, column: F.struct(F.lit(role).alias("role"), F.col(column).alias("content"))
+    return [F.array(said("system", "system"), said("user", "question"), said("assistant", "answer")).alias("messages"), metadata()]
+
+
 def alpaca(records: DataFrame) -> DataFrame:
-    return records.select(F.col("question").alias("instruction"), F.lit("").alias("input"), F.col("answer").alias("output"), metadata())
+    return records.select(*_alpaca())
 
 
 def chatml(records: DataFrame) -> DataFrame:
-    said = lambda role, column: F.struct(F.lit(role).alias("role"), F.col(column).alias("content"))
-    return records.select(F.array(said("system", "system"), said("user", "question"), said("assistant", "answer")).alias("messages"), metadata())
+    return records.select(*_chatml())
 
 
+COLUMNS = {"alpaca": _alpaca, "chatml": _chatml}
 FORMATS = {"alpaca": alpaca, "chatml": chatml}
 
 
@@ -39,10 +50,12 @@ def _ordered(records: DataFrame, split: str) -> DataFrame:
 
 
 def write_distributed(records: DataFrame, out: str) -> None:
-    """Part files under ``out/format/split=...``, written by the executors; for data of any size."""
-    for name, shape in FORMATS.items():
-        for split in NAMES:
-            shape(_ordered(records, split)).select(F.to_json(F.struct("*")).alias("value")).write.text(f"{out}/{name}/split={split}")
+    """Part files of JSON lines under ``out/format/split=...``, written by the executors in one pass a format; for data of
+    any size. Parts follow the order of records, as rows within a part do."""
+    parted = records.repartitionByRange("split", "record_seq").sortWithinPartitions("split", "record_seq")
+    for name, columns in COLUMNS.items():
+        line = F.to_json(F.struct(*columns()), {"ignoreNullFields": "false"}).alias("value")
+        parted.select("split", line).write.partitionBy("split").text(f"{out}/{name}")
 
 
 def write_jsonl(records: DataFrame, out: str) -> dict[str, int]:
@@ -69,6 +82,8 @@ HEADERS = ["Review", "Notes", "Type", "Question", "Answer", "System Prompt", "So
 WIDTHS = [10, 28, 8, 45, 45, 35, 22, 10, 10, 20]
 OPTIONS = {"Keep": "FF1F4D2B", "Reject": "FF5C1F1F", "Needs Fix": "FF5C4A1F"}
 HEADER_FILL = "FF2F2F2F"
+# What the format allows, rows of a sheet (its header included) and signs of a cell.
+SHEET_ROWS, CELL_SIGNS = 1_048_576, 32_767
 
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -81,17 +96,20 @@ def _cell(column: int, row: int, value, style: int) -> str:
         return f'<c r="{at}" s="{style}"/>'
     if isinstance(value, int):
         return f'<c r="{at}" s="{style}"><v>{value}</v></c>'
-    text = escape("".join(c for c in str(value) if c in "\t\n" or ord(c) >= 32 and ord(c) not in (0xFFFE, 0xFFFF)))
+    text = escape("".join(c for c in str(value)[:CELL_SIGNS] if c in "\t\n" or ord(c) >= 32 and ord(c) not in (0xFFFE, 0xFFFF)))
     return f'<c r="{at}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
 
 
 def _sheet(rows: Iterator) -> Iterator[str]:
+    """A sheet of at most ``SHEET_ROWS`` rows. A text longer than a cell allows is cut there, and the notes say so; it is
+    whole in the training files."""
     columns = "".join(f'<col min="{k}" max="{k}" width="{w}" customWidth="1"/>' for k, w in enumerate(WIDTHS, 1))
     yield f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews><cols>{columns}</cols><sheetData>'
     yield '<row r="1">' + "".join(_cell(k, 1, h, 1) for k, h in enumerate(HEADERS)) + "</row>"
     last = 1
     for last, r in enumerate(rows, 2):
-        values = ["", "", "Table" if r.is_table else "Text", r.question, r.answer, r.system, r.source_doc, r.page_start, r.page_end, r.chunk_id]
+        long = any(len(v or "") > CELL_SIGNS for v in (r.question, r.answer, r.system))
+        values = ["", f"cut at {CELL_SIGNS} signs, see the training files" if long else "", "Table" if r.is_table else "Text", r.question, r.answer, r.system, r.source_doc, r.page_start, r.page_end, r.chunk_id]
         yield f'<row r="{last}">' + "".join(_cell(k, last, v, 2) for k, v in enumerate(values)) + "</row>"
     yield "</sheetData>"
     if last > 1:
@@ -102,7 +120,8 @@ def _sheet(rows: Iterator) -> Iterator[str]:
 
 
 def write_workbook(records: DataFrame, out: str) -> str:
-    """``review.xlsx`` with a sheet for each split; rows stream through the driver."""
+    """``review.xlsx`` with a sheet for each split, and further ones (``train 2``) for rows beyond what a sheet holds; rows
+    stream through the driver."""
     Path(out).mkdir(parents=True, exist_ok=True)
     path = Path(out) / "review.xlsx"
     fill = lambda rgb: f'<fill><patternFill patternType="solid"><fgColor rgb="{rgb}"/><bgColor rgb="{rgb}"/></patternFill></fill>'
@@ -112,21 +131,28 @@ def write_workbook(records: DataFrame, out: str) -> str:
         '<cellXfs count="3"><xf/><xf fontId="1" fillId="2" applyFont="1" applyFill="1"/><xf applyAlignment="1"><alignment vertical="top" wrapText="1"/></xf></cellXfs>'
         f'<dxfs count="{len(OPTIONS)}">' + "".join(f"<dxf>{fill(rgb)}</dxf>" for rgb in OPTIONS.values()) + "</dxfs></styleSheet>"
     )
-    sheets = "".join(f'<sheet name="{n}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(NAMES, 1))
-    links = "".join(f'<Relationship Id="rId{k}" Type="{_REL}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(NAMES) + 1))
-    links += f'<Relationship Id="rId{len(NAMES) + 1}" Type="{_REL}/styles" Target="styles.xml"/>'
-    kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(1, len(NAMES) + 1))
     head = '<?xml version="1.0" encoding="UTF-8"?>'
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+        names: list[str] = []
+        for split in NAMES:
+            rows, part = iter(_ordered(records, split).toLocalIterator()), 1
+            first = next(rows, None)
+            while first is not None or part == 1:
+                names.append(split if part == 1 else f"{split} {part}")
+                own = chain([first], islice(rows, SHEET_ROWS - 2)) if first is not None else iter(())
+                with book.open(f"xl/worksheets/sheet{len(names)}.xml", "w") as fh:
+                    for piece in _sheet(own):
+                        fh.write(piece.encode())
+                first, part = next(rows, None), part + 1
+        sheets = "".join(f'<sheet name="{n}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(names, 1))
+        links = "".join(f'<Relationship Id="rId{k}" Type="{_REL}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(names) + 1))
+        links += f'<Relationship Id="rId{len(names) + 1}" Type="{_REL}/styles" Target="styles.xml"/>'
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(1, len(names) + 1))
         book.writestr("[Content_Types].xml", f'{head}<Types xmlns="{_PACK}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{kinds}</Types>')
         book.writestr("_rels/.rels", f'{head}<Relationships xmlns="{_PACK}/relationships"><Relationship Id="rId1" Type="{_REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         book.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets>{sheets}</sheets></workbook>')
         book.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{_PACK}/relationships">{links}</Relationships>')
         book.writestr("xl/styles.xml", styles)
-        for k, split in enumerate(NAMES, 1):
-            with book.open(f"xl/worksheets/sheet{k}.xml", "w") as fh:
-                for piece in _sheet(_ordered(records, split).toLocalIterator()):
-                    fh.write(piece.encode())
     return str(path)
 
 
@@ -146,8 +172,9 @@ def write_run_info(run_dir: str, config: RunConfig, paths: Iterable[str], result
 
 
 def safe_name(name: str, limit: int) -> str:
-    """The driver's form of ``functions.text.sanitize_name``."""
-    name = re.sub(r"_{2,}", "_", re.sub(r"\s+", "_", re.sub(r'[<>:"/\\|?*\x00-\x1f]', "_", name)))
+    """``functions.text.sanitize_name`` for one name on the driver."""
+    for pattern, put in SAFE_STEPS:
+        name = re.sub(pattern, put, name)
     return name.strip("._")[:limit] or "run"
 
 

@@ -7,7 +7,6 @@ import subprocess
 import urllib.request
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,6 +26,11 @@ def distinct_documents(files: DataFrame, order: str = "doc_seq", path: str = "pa
     return files.groupBy(path).agg(F.min(order).alias(order)).withColumn("source_doc", T.base_name(F.col(path)))
 
 
+def by_name():
+    """Documents in the order of their names, for page tables without a queue (one short row a document)."""
+    return Window.orderBy("source_doc")
+
+
 def read_pages(pages: DataFrame, order: str | None = None) -> DataFrame:
     """``source_doc, page_num, raw_text, tables`` of a page table; pages delivered twice count once.
 
@@ -37,6 +41,35 @@ def read_pages(pages: DataFrame, order: str | None = None) -> DataFrame:
     return pages.dropDuplicates(["source_doc", "page_num"]).select("source_doc", F.col("page_num").cast("int"), F.col("text").alias("raw_text"), "tables")
 
 
+def read_pdf(spark: SparkSession, documents: DataFrame, *, ignore_errors: bool = False, count_only: bool = False) -> DataFrame:
+    """``doc_seq, source_doc`` of ``DOCUMENTS`` with the pages of their files (``page_num, page_count, blocks, tables, error``).
+
+    An unreadable file fails the read, or with ``ignore_errors`` gives one row with its error. ``count_only`` opens
+    the files but reads no page.
+    """
+    spark.dataSource.register(PdfSource)
+    paths = json.dumps([r["path"] for r in documents.select("path").toLocalIterator()])
+    read = spark.read.format("pages").option("paths", paths).option("ignore_errors", str(ignore_errors).lower()).option("count_only", str(count_only).lower()).load()
+    return documents.select("doc_seq", "path", "source_doc").join(read, "path")
+
+
+def raw_pages(read: DataFrame) -> DataFrame:
+    """``RAW_PAGES`` (tables as texts) of ``read_pdf``: blocks that no kept table's box overlaps, in their order, and tables of
+    at least two rows. All on the row of a page."""
+    kept = F.filter("tables", lambda t: F.size(t["rows"]) >= 2)
+    over = lambda b, t: (b["x0"] < t["x1"]) & (t["x0"] < b["x1"]) & (b["y0"] < t["y1"]) & (t["y0"] < b["y1"])
+    free = F.filter("blocks", lambda b: ~F.exists("__kept", lambda t: over(b, t)))
+    pages = read.where("error IS NULL AND page_num IS NOT NULL").withColumn("__kept", kept)
+    ordered = F.transform(F.array_sort(F.transform(free, lambda b: F.struct(b["block_no"].alias("k"), b["text"].alias("t")))), lambda b: b["t"])
+    tables = F.transform("__kept", lambda t: T.table_text(t["rows"]))
+    return pages.select("doc_seq", "source_doc", "page_num", F.array_join(ordered, "\n").alias("raw_text"), tables.alias("tables"))
+
+
+def failed_files(read: DataFrame) -> DataFrame:
+    """``doc_seq, path, error`` of the files that could not be read."""
+    return read.where("error IS NOT NULL").select("doc_seq", "path", "error")
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -46,8 +79,9 @@ class _File(InputPartition):
 class PdfSource(DataSource):
     """``spark.read.format("pages")``: pages of PDF files, one task a file; needs the optional library ``pymupdf``.
 
-    Options: ``paths`` (a JSON list). Columns: path, page_num, page_count, blocks, tables. Unreadable files fail the
-    read unless ``ignore_errors`` is ``true``.
+    Options: ``paths`` (a JSON list), ``ignore_errors``, ``count_only``. Columns: path, page_num, page_count, blocks, tables,
+    error. Unreadable files fail the read unless ``ignore_errors`` is ``true``; then they give a row with the error. With
+    ``count_only`` there is one row a file, with its number of pages, and no page is parsed.
     """
 
     @classmethod
@@ -57,7 +91,7 @@ class PdfSource(DataSource):
     def schema(self) -> str:
         return (
             "path string, page_num int, page_count int, blocks array<struct<block_no:int,x0:double,y0:double,x1:double,y1:double,text:string>>, "
-            "tables array<struct<x0:double,y0:double,x1:double,y1:double,rows:array<array<string>>>>"
+            "tables array<struct<x0:double,y0:double,x1:double,y1:double,rows:array<array<string>>>>, error string"
         )
 
     def reader(self, schema: StructType) -> DataSourceReader:
@@ -68,6 +102,7 @@ class _PdfReader(DataSourceReader):
     def __init__(self, options):
         self.paths = json.loads(options.get("paths", "[]"))
         self.ignore = options.get("ignore_errors", "false").lower() == "true"
+        self.count_only = options.get("count_only", "false").lower() == "true"
 
     def partitions(self):
         return [_File(p) for p in self.paths]
@@ -77,11 +112,15 @@ class _PdfReader(DataSourceReader):
 
         try:
             with pymupdf.open(partition.path) as doc:
+                if self.count_only:
+                    yield partition.path, None, doc.page_count, [], [], None
+                    return
                 for page in doc:
-                    yield partition.path, page.number + 1, doc.page_count, self.blocks(page), self.tables(page)
-        except Exception:
+                    yield partition.path, page.number + 1, doc.page_count, self.blocks(page), self.tables(page), None
+        except Exception as error:
             if not self.ignore:
                 raise
+            yield partition.path, None, None, [], [], f"{type(error).__name__}: {error}"
 
     @staticmethod
     def blocks(page) -> list[tuple]:
@@ -104,8 +143,8 @@ class _PdfReader(DataSourceReader):
 
 
 def page_counts(pages: DataFrame) -> DataFrame:
-    """``path, page_count`` from a read of the page source; only these columns are asked for."""
-    return pages.groupBy("path").agg(F.max("page_count").alias("page_count"))
+    """``path, page_count`` from a read of the page source, best one with ``count_only``."""
+    return pages.where("error IS NULL").groupBy("path").agg(F.max("page_count").alias("page_count"))
 
 
 def is_reachable(host: str, timeout: float = 3.0) -> bool:
@@ -150,7 +189,3 @@ def read_memory(spark: SparkSession) -> tuple[float, float] | None:
     row = sum_memory(spark.createDataFrame([(x,) for x in found.stdout.splitlines()] or [("",)], "value string")).first()
     return (row["used_mb"], row["total_mb"]) if row else None
 
-
-def arrow_schema() -> pa.Schema:
-    """Schema of page rows for writers that feed the engine from outside Spark."""
-    return pa.schema([("source_doc", pa.string()), ("page_num", pa.int32()), ("text", pa.string()), ("tables", pa.list_(pa.string()))])

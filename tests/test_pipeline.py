@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quirework.config import RunConfig
+from quirework.functions.sql import register_functions
 from quirework.operators import generate, split
 from quirework.operators.pages import body_text, clean_pages
 from quirework.plans.pipeline import Engine
+from quirework.sinks import export
 from quirework.sources import documents
 from quirework.streaming.gate_stream import gate_stream
 
@@ -77,7 +79,7 @@ def test_run_writes_everything(spark, tmp_path):
     result = Engine(spark, RunConfig(output_dir=str(tmp_path))).run(raw, docs, progress=seen.append)
     assert result.total_pages == 6 and result.total_chunks > 6 and result.total_qc_passed > 0 and result.total_examples_generated == result.total_qc_passed + result.total_qc_rejected
     out = Path(result.output_dir)
-    assert out.name.endswith("a_plus2_gemma4_12b") and sum(result.split_counts.values()) == result.total_qc_passed and [p.stage for p in seen] == ["extract", "extract", "generate"]
+    assert out.name.endswith("a_plus2_gemma4_12b") and sum(result.split_counts.values()) == result.total_qc_passed and [p.stage for p in seen] == ["extract", "extract", "generate", "generate"]
     for name, n in result.split_counts.items():
         for kind in ("alpaca", "chatml"):
             lines = (out / f"{name}_{kind}.jsonl").read_text().splitlines()
@@ -90,6 +92,106 @@ def test_run_writes_everything(spark, tmp_path):
     assert Engine(spark, RunConfig(output_dir=str(tmp_path))).run(raw, docs, stop=stop).total_qc_passed == 0
 
 
+def test_a_stop_keeps_what_is_done(spark, tmp_path):
+    docs = documents.queue(spark, [f"/in/{n}.pdf" for n in "abcd"])
+    raw = docs.select("doc_seq", "source_doc", F.lit(1).alias("page_num"), F.concat(F.lit("word " * 60), "source_doc").alias("raw_text"), F.array().cast("array<string>").alias("tables"))
+    stop, seen = threading.Event(), []
+
+    def progress(event):
+        seen.append(event)
+        if event.stage == "generate" and event.counts["done"] == 2:
+            stop.set()
+
+    result = Engine(spark, RunConfig(output_dir=str(tmp_path))).run(raw, docs, progress=progress, stop=stop, document_block=2, chunk_block=2)
+    assert result.stopped and result.total_pages == 4 and result.total_chunks == 4 and result.total_examples_generated == 4
+    assert [p.counts["documents_done"] for p in seen[:4]] == [0, 2, 2, 4] and seen[-1].counts["done"] == 2 and seen[-1].counts["total"] == 4
+    assert sum(result.split_counts.values()) == result.total_qc_passed > 0
+    early = Engine(spark, RunConfig(output_dir=str(tmp_path))).run(raw, docs, progress=lambda e: None, stop=stop)
+    assert early.stopped and early.total_pages == 0 and (Path(early.output_dir) / "train_alpaca.jsonl").exists()
+
+
+def test_part_files_rejects_and_skips(spark, tmp_path):
+    docs = documents.queue(spark, [f"/in/{n}/same.pdf" for n in "abcdef"])
+    raw = docs.select("doc_seq", "source_doc", F.lit(1).alias("page_num"), F.concat(F.lit("word " * 60), F.when(F.col("doc_seq") == 5, "insufficient context").otherwise(F.col("doc_seq").cast("string"))).alias("raw_text"), F.array().cast("array<string>").alias("tables"))
+    parts = f"file://{tmp_path}/parts"
+    result = Engine(spark, RunConfig(output_dir=str(tmp_path / "out"))).run(raw, docs, parts_dir=parts)
+    lines = {name: spark.read.text(f"{parts}/{name}").collect() for name in ("alpaca", "chatml")}
+    assert result.total_chunks == 6 and result.total_qc_passed > 0 and all(len(x) == result.total_qc_passed for x in lines.values())
+    assert set(json.loads(lines["alpaca"][0]["value"])) == {"instruction", "input", "output", "metadata"}
+    assert [r.skip_reason for r in spark.read.json(f"{parts}/skipped").collect()] == ["insufficient context"]
+    assert spark.read.json(f"{parts}/rejected").count() == result.total_qc_rejected
+
+
+FAKE_PDF = """
+class Table:
+    bbox = (0, 0, 10, 10)
+    def __init__(self, rows): self.rows = rows
+    def extract(self):
+        if self.rows is None: raise ValueError
+        return self.rows
+class Found: pass
+class Page:
+    def __init__(self, number): self.number = number
+    def get_text(self, kind): return [(0, 0, 5, 5, "in the table", 0, 0), (0, 20, 5, 25, f"body {self.number} of the page, long enough", 1, 0)]
+    def find_tables(self):
+        if self.number == 1: raise RuntimeError
+        f = Found(); f.tables = [Table([["a", None], [" b ", "c"]]), Table([["one row"]]), Table(None)]; return f
+class Doc:
+    page_count = 2
+    def __enter__(self): return self
+    def __exit__(self, *a): pass
+    def __iter__(self): return iter([Page(0), Page(1)])
+def open(path):
+    if "bad" in path: raise RuntimeError("broken file")
+    return Doc()
+"""
+
+
+def test_pages_of_files(spark, tmp_path):
+    (tmp_path / "pymupdf.py").write_text(FAKE_PDF)
+    spark.sparkContext.addPyFile(str(tmp_path / "pymupdf.py"))
+    docs = documents.queue(spark, ["/a/x.pdf", "/b/x.pdf", "/a/bad.pdf"])
+    read = documents.read_pdf(spark, docs, ignore_errors=True)
+    pages = documents.raw_pages(read).orderBy("doc_seq", "page_num").collect()
+    assert [(p.doc_seq, p.page_num) for p in pages] == [(0, 1), (0, 2), (1, 1), (1, 2)] and pages[0].raw_text == "body 0 of the page, long enough"
+    assert pages[0].tables == ["a | \nb | c"] and pages[1].tables == [] and pages[1].raw_text.startswith("in the table\n")
+    assert [(r.doc_seq, r.error) for r in documents.failed_files(read).collect()] == [(2, "RuntimeError: broken file")]
+    counts = documents.page_counts(documents.read_pdf(spark, docs, ignore_errors=True, count_only=True))
+    assert {r.path: r.page_count for r in counts.collect()} == {"/a/x.pdf": 2, "/b/x.pdf": 2}
+    with pytest.raises(Exception, match="broken file"):
+        documents.read_pdf(spark, docs).count()
+
+
+def test_workbook_limits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(export, "SHEET_ROWS", 3)
+    monkeypatch.setattr(export, "CELL_SIGNS", 10)
+    rows = [(k, "train", "q" * (5 + 10 * (k == 4)), "a", "s", "d", 1, 1, "c", False) for k in range(5)]
+    book = zipfile.ZipFile(export.write_workbook(spark.createDataFrame(rows, "record_seq long, split string, question string, answer string, system string, source_doc string, page_start int, page_end int, chunk_id string, is_table boolean"), str(tmp_path)))
+    names = [x.split('"')[0] for x in book.read("xl/workbook.xml").decode().split('sheet name="')[1:]]
+    assert names == ["train", "train 2", "train 3", "val", "test"] and [book.read(f"xl/worksheets/sheet{k}.xml").decode().count("<row ") for k in range(1, 6)] == [3, 3, 2, 1, 1]
+    last = book.read("xl/worksheets/sheet3.xml").decode()
+    assert "q" * 10 in last and "q" * 11 not in last and "cut at 1" in last
+
+
+def test_sql_functions(spark):
+    assert "quire_words" in register_functions(spark)
+    row = spark.sql("SELECT quire_words('a  b\u00a0c') AS n, quire_strip('\u00a0 x y\n') AS s, quire_key(' What, IS it? ') AS k, quire_lines('a\n\n b ') AS l, quire_paragraphs('a\nb\n \nc') AS p").first()
+    assert (row.n, row.s, row.k, row.l, row.p) == (3, "x y", "what is it", ["a", "b"], ["a\nb", "c"])
+
+
+def test_command_line(spark, sf_dir, tmp_path, capsys):
+    from quirework.__main__ import main
+
+    assert main(["queries"]) == 0 and "gate_verdicts" in capsys.readouterr().out
+    assert main(["query", "no_such", sf_dir]) == 2 and main(["query", "run_stats", sf_dir, "--out", str(tmp_path / "stats")]) == 0
+    assert spark.read.parquet(str(tmp_path / "stats")).count() == 1
+    pages = [("a.pdf", 1, "word " * 60, None), ("b.pdf", 1, "text " * 50, ["h | v\n" + "x | y\n" * 30])]
+    spark.createDataFrame(pages, "source_doc string, page_num int, text string, tables array<string>").write.parquet(str(tmp_path / "pages"))
+    capsys.readouterr()
+    assert main(["run"]) == 2 and main(["run", "--pages", str(tmp_path / "pages"), "--output-dir", str(tmp_path / "out"), "--min-answer-tokens", "5"]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["total_chunks"] == 3
+
+
 def test_run_lists_all_documents(spark, tmp_path):
     docs = documents.queue(spark, [f"/in/d{k:04}.pdf" for k in range(1203)])
     raw = docs.where("doc_seq < 2").select("source_doc", F.lit(1).alias("page_num"), F.lit("word " * 60).alias("raw_text"), F.array().cast("array<string>").alias("tables"))
