@@ -60,9 +60,8 @@ def bpe_counter(path: str, pattern: str = PRE_TOKENS) -> Counter:
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoding = _encoding_of(path, pattern)
         for texts in batches:
-            whole = texts.notna()
-            out = pd.Series([None] * len(texts), dtype="Int32")
-            out[whole.to_numpy()] = [len(ids) for ids in encoding.encode_ordinary_batch(texts[whole].tolist(), num_threads=1)]
+            ids = encoding.encode_ordinary_batch([t or "" for t in texts], num_threads=1)
+            out = pd.Series([None if t is None else len(i) for t, i in zip(texts, ids)], dtype="Int32")
             yield out
 
     return count

@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.config import RunConfig
 from quirework.functions import text as T
-from quirework.functions.tokens import word_counter
+from quirework.functions.tokens import bpe_counter, word_counter
 from quirework.operators import chunks as C
 from quirework.operators import gate as G
 from quirework.operators import prompts as P
 from quirework.operators import split as S
 from quirework.operators.generate import build_candidates, lacks_context
 from quirework.operators.pages import body_text, clean_pages
-from quirework.session import read_table
+from quirework.plans.pipeline import with_documents
+from quirework.session import cut_lineage, read_table
+from quirework.sinks import export
 from quirework.sources.documents import distinct_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = RunConfig()
+#: Ranks of the byte-pair counter of ``token_counts_bpe``.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Edge cases that the tables may lack, appended to texts on both sides.
 EDGE = {
@@ -81,8 +86,25 @@ def table_chunks(spark, sf_dir):
     return found.where(F.col("token_count").between(CONFIG.min_chunk_tokens, CONFIG.max_chunk_tokens)).withColumnRenamed("page_num", "page_seq")
 
 
+def _text_pages(spark, sf_dir) -> DataFrame:
+    """Pages with their text as delivered; composition, which SQL lacks, is checked by itself."""
+    pages = _pages(spark, sf_dir).where("page_num IS NOT NULL").dropDuplicates(["source_doc", "page_num"])
+    return pages.select("source_doc", "page_num", "text", F.coalesce("tables", F.array().cast("array<string>")).alias("tables"))
+
+
+def clean_pages_query(spark, sf_dir):
+    """Skipped, cleaned and cut pages, with their tables."""
+    return clean_pages(_raw_pages(spark, sf_dir), CONFIG).select("source_doc", F.col("page_num").alias("page_seq"), "text", F.array_join("tables", "\n---\n").alias("tables"))
+
+
 def pack_chunks(spark, sf_dir):
-    return C.chunk_pages(clean_pages(_raw_pages(spark, sf_dir), CONFIG), CONFIG).drop("row")
+    return C.chunk_pages(_text_pages(spark, sf_dir), CONFIG).drop("row")
+
+
+def append_chunks(spark, sf_dir):
+    """Chunks of all files of the queue in its order, numbered throughout; files of one name are documents of their own."""
+    files = read_table(spark, sf_dir, "source_docs").select("doc_seq", "source_doc").where("source_doc IS NOT NULL").distinct()
+    return C.number_chunks(C.chunk_pages(with_documents(_text_pages(spark, sf_dir), files), CONFIG), files)
 
 
 def block_anti_join(spark, sf_dir):
@@ -108,8 +130,8 @@ def insufficient_filter(spark, sf_dir):
 
 
 def variant_explode(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "validated_records").select("record_seq").distinct()
-    return rows.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(2)))).select("variant", (F.col("record_seq") * 3 + F.col("variant")).alias("record_seq"))
+    """Candidates with two paraphrases a chunk."""
+    return build_candidates(_chunks(spark, sf_dir), replace(CONFIG, variants_per_chunk=2))[0].select("record_seq", "question")
 
 
 def _led_in() -> Column:
@@ -136,6 +158,18 @@ def gate_verdicts(spark, sf_dir):
     return G.verdicts(_raw_records(spark, sf_dir), CONFIG).select("record_seq", "reject_reason")
 
 
+def gate_edges(spark, sf_dir):
+    """The gate on records of which some are led in and short, some have very long answers and no source count, and some
+    answers are long against their source."""
+    seq, words = F.col("record_seq"), F.lit("word ")
+    rows = _raw_records(spark, sf_dir).withColumns({
+        "question": F.when(seq % 5 == 0, F.concat(F.lit("According to the text, why "), (seq % 3).cast("string"), F.lit("?"))).otherwise(F.col("question")),
+        "answer": F.when(seq % 7 == 0, F.repeat(words, (2000 + seq % 60).cast("int"))).when(seq % 7 == 1, F.repeat(words, (F.lit(10) + seq % 4).cast("int"))).otherwise(F.col("answer")),
+        "chunk_token_count": F.when(seq % 7 == 0, F.lit(0)).when(seq % 7 == 1, F.lit(4)).otherwise(F.col("chunk_token_count")),
+    })
+    return G.verdicts(rows, CONFIG).select("record_seq", "reject_reason")
+
+
 def dedup_first_accepted(spark, sf_dir):
     """Every question with one of two answers by its parity, so that keys repeat much."""
     rows = _raw_records(spark, sf_dir).withColumns({"question": F.concat(F.lit("Which "), (F.col("record_seq") % 50).cast("string"), F.lit(" is meant by it now?")), "answer": F.concat(F.lit("word " * 5), F.when(F.col("record_seq") % 5 == 0, "and ").otherwise("w " * 9), F.lit("end"))})
@@ -151,20 +185,19 @@ def split_record(spark, sf_dir):
 
 
 def _split(spark, sf_dir) -> DataFrame:
+    """Accepted records, written once, with their split."""
     accepted, _ = G.gate(_raw_records(spark, sf_dir), CONFIG)
-    return S.split_records(accepted, CONFIG)
+    return S.split_records(cut_lineage(accepted), CONFIG)
 
 
 def gate_split_export(spark, sf_dir):
     rows = _split(spark, sf_dir)
-    return rows.select("record_seq", "split", F.col("question").alias("instruction"), F.lit("").alias("input"), F.col("answer").alias("output"), "source_doc", "page_start", "page_end", "chunk_id")
+    return rows.select("record_seq", "split", *export.COLUMNS["alpaca"]()).select("record_seq", "split", "instruction", "input", "output", "metadata.*")
 
 
 def chatml(spark, sf_dir):
-    from quirework.sinks.export import chatml as shape
-
     rows = G.gate(_raw_records(spark, sf_dir), CONFIG)[0]
-    said = shape(rows)
+    said = export.chatml(rows)
     return said.select(F.posexplode("messages").alias("turn", "m"), "metadata").select("turn", "m.role", "m.content", "metadata.source_doc", "metadata.chunk_id")
 
 
@@ -196,10 +229,24 @@ def token_counts(spark, sf_dir):
     return read_table(spark, sf_dir, "chunks").where("text IS NOT NULL").select("chunk_seq", word_counter(F.col("text")).alias("n")).distinct()
 
 
+def token_counts_bpe(spark, sf_dir):
+    """Counts by the byte-pair ranks that ``RANKS`` names."""
+    return read_table(spark, sf_dir, "chunks").where("text IS NOT NULL").select("chunk_seq", bpe_counter(RANKS)(F.col("text")).alias("n")).distinct()
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    return read_table(spark, sf_dir, "chunks").where("text IS NOT NULL").dropDuplicates(["chunk_seq"]).withColumn("is_table", F.coalesce("is_table", F.lit(False)))
+
+
 def generate_extractive(spark, sf_dir):
     """Candidates of all chunks by the offline generator."""
-    chunks = read_table(spark, sf_dir, "chunks").where("text IS NOT NULL").dropDuplicates(["chunk_seq"]).withColumn("is_table", F.coalesce("is_table", F.lit(False)))
-    return build_candidates(chunks, CONFIG)[0]
+    return build_candidates(_chunks(spark, sf_dir), CONFIG)[0]
+
+
+def skipped_chunks(spark, sf_dir):
+    """Chunks that give no candidate, with the reason."""
+    chunks = _chunks(spark, sf_dir).withColumn("text", F.when(F.col("chunk_seq") % 9 == 0, F.concat("text", F.lit(" INSUFFICIENT context"))).otherwise(F.col("text")))
+    return build_candidates(chunks, CONFIG)[1].where("skip_reason IS NOT NULL").select("chunk_seq", "skip_reason")
 
 
 def queries() -> dict[str, Query]:
@@ -209,8 +256,9 @@ def queries() -> dict[str, Query]:
         "paragraphs": _explode_text(T.paragraphs), "lines": _explode_text(T.lines), "sentences": _explode_text(T.sentences),
     }
     found |= {f"mask_{k}": _on_page_text(k, lambda t, k=k: T.mask(t, k)) for k in T.MASKS}
-    for query in (boilerplate_cut, page_filter, hard_sections, table_chunks, pack_chunks, block_anti_join, prompt_rotation, prompt_render, insufficient_filter, variant_explode, meta_strip, meta_reject, normalize_key, gate_verdicts, dedup_first_accepted, split_doc, split_record, gate_split_export, chatml, split_counts, run_stats, run_label, document_queue, elapsed, token_counts, generate_extractive):
+    for query in (boilerplate_cut, page_filter, hard_sections, table_chunks, pack_chunks, append_chunks, block_anti_join, prompt_rotation, prompt_render, insufficient_filter, variant_explode, meta_strip, meta_reject, normalize_key, gate_verdicts, gate_edges, dedup_first_accepted, split_doc, split_record, gate_split_export, chatml, split_counts, run_stats, run_label, document_queue, elapsed, token_counts, token_counts_bpe, generate_extractive, skipped_chunks):
         found[query.__name__] = query
+    found["clean_pages"] = clean_pages_query
     return found
 
 
@@ -247,6 +295,32 @@ def _masked(kind: str) -> str:
     return once(once("$T"))
 
 
+_TITLES = ", ".join(_q(t) for t in CONFIG.boilerplate_section_titles)
+
+# Compatibility composition for the signs that the tables hold and for a few more; DuckDB composes canonically only.
+_COMPAT = {"\u00a0": " ", "\u2026": "...", "\uff0c": ",", "\uff1f": "?", "\uff1a": ":", "\uff01": "!", "\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\u00b2": "2", "\u00b3": "3", "\u00bd": "1\u20442", "\u2009": " ", "\u202f": " ", "\uff08": "(", "\uff09": ")", "\u3000": " "}
+
+
+def _composed(x: str) -> str:
+    for sign, plain in _COMPAT.items():
+        x = f"replace({x}, {_q(sign)}, {_q(plain)})"
+    return f"nfc_normalize({x})"
+
+
+def _cleaned(x: str) -> str:
+    """All cleaning steps."""
+    x = f"regexp_replace({_composed(x)}, '<[^>]+>', ' ', 'g')"
+    for kind in T.MASKS:
+        x = _masked(kind).replace("$T", x)
+    return _strip(rf"regexp_replace(regexp_replace({x}, '[ \t]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def _cut_back(x: str) -> str:
+    """The lines before the first title of back matter, of a column."""
+    hit = f"list_position(list_transform(string_split({x}, chr(10)), lambda l: lower(trim({_strip('l')}, ':')) IN ({_TITLES})), true)"
+    return f"CASE WHEN coalesce({hit}, 0) > 0 THEN {_strip(f'array_to_string(string_split({x}, chr(10))[1:{hit} - 1], chr(10))')} ELSE {x} END"
+
+
 _RAW = f"""raw AS (SELECT DISTINCT record_seq, system, question, answer, source_doc, page_start, page_end, chunk_id, is_table, {_words("coalesce(question, '')")} AS ctc FROM validated_records)"""
 _LEAD = rf"^{_SP}*(?i:according to|as (?:stated|described|mentioned|shown) in|based on|per|from){_SP}+(?i:the{_SP}+)?(?i:context|text|passage|document|snapshot|excerpt)(?i:{_SP}+above)?{_SP}*[,:]?{_SP}*"
 _BARE = lambda q: f"regexp_replace({q}, '{_LEAD}', '')"
@@ -269,12 +343,58 @@ _SPLIT_OF = lambda source: f"""
 s AS (SELECT source_doc, CASE WHEN k < greatest(1, n - greatest(1, round_even(n * 0.1, 0)) - greatest(1, round_even(n * 0.1, 0))) THEN 'train'
   WHEN k < greatest(1, n - greatest(1, round_even(n * 0.1, 0)) - greatest(1, round_even(n * 0.1, 0))) + greatest(1, round_even(n * 0.1, 0)) THEN 'val' ELSE 'test' END AS split FROM n)"""
 _FLAT = "page_seq, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS pos"
-_TITLES = ", ".join(_q(t) for t in CONFIG.boilerplate_section_titles)
 _DISTINCT_PAGES = "(SELECT DISTINCT page_seq, text FROM pdf_pages WHERE text IS NOT NULL)"
 
 
+_EDGED = _RAW.replace("raw AS", "raw0 AS", 1) + """, raw AS (SELECT record_seq, system,
+  CASE WHEN record_seq % 5 = 0 THEN 'According to the text, why ' || record_seq % 3 || '?' ELSE question END AS question,
+  CASE record_seq % 7 WHEN 0 THEN repeat('word ', 2000 + record_seq % 60) WHEN 1 THEN repeat('word ', 10 + record_seq % 4) ELSE answer END AS answer,
+  source_doc, page_start, page_end, chunk_id, is_table, CASE record_seq % 7 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE ctc END AS ctc FROM raw0)"""
+_EXTRACTED = f"""
+WITH k AS (SELECT DISTINCT ON (chunk_seq) chunk_seq, chunk_id, source_doc, page_start, page_end, token_count, coalesce(is_table, false) AS is_table, {_strip("text")} AS answer,
+  'What is stated about ' || array_to_string(list_filter(string_split_regex(text, '{_SP}+'), lambda w: w <> '')[1:6], ' ') || '?' AS question
+  FROM chunks WHERE {_strip("text")} <> '' AND NOT contains(lower(text), 'insufficient context') AND NOT contains(lower(text), 'not enough information'))"""
+_ABBREVIATED = rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(a.replace('.', chr(92) + '.') for a in T.ABBREVIATIONS)})\.{_SP}*$"
+# Sections, atoms and greedy packing with overlap, the last by recursion over the atoms of each section.
+_PACKED = f"""
+WITH RECURSIVE t AS (SELECT DISTINCT ON (source_doc, page_num) source_doc, page_num, coalesce(text, '') AS text, coalesce(tables, []) AS tables FROM pdf_pages WHERE page_num IS NOT NULL),
+m AS (SELECT source_doc, page_num, regexp_replace(regexp_replace(text, '(?im)^((?:chapter|section){_SP}+\\p{{Nd}}+)', chr(10) || chr(10) || chr(10) || '\\1', 'g'), '(?m)^([A-Z][A-Z0-9 \\-:]{{4,59}})$', chr(10) || chr(10) || chr(10) || '\\1', 'g') AS text FROM t),
+p AS (SELECT source_doc, page_num, string_split_regex(text, '\\n{_SP}*\\n{_SP}*\\n') AS ps FROM m),
+e AS (SELECT source_doc, page_num, unnest(ps) AS body, generate_subscripts(ps, 1) - 1 AS piece FROM p),
+n AS (SELECT *, sum(CASE WHEN piece > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source_doc ORDER BY page_num, piece ROWS UNBOUNDED PRECEDING) AS section_id FROM e),
+q0 AS (SELECT *, list_filter(list_transform(string_split_regex(body, '\\n{_SP}*\\n'), lambda x: {_strip('x')}), lambda x: x <> '') AS paras FROM n),
+q AS (SELECT source_doc, section_id, page_num, piece, unnest(paras) AS text, generate_subscripts(paras, 1) AS para FROM q0),
+w AS (SELECT *, {_words('text')} AS n FROM q),
+sp AS (SELECT *, string_split(regexp_replace({_strip('text')}, '([.!?]){_SP}+([A-Z0-9"''])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM w WHERE n > 600),
+su AS (SELECT * EXCLUDE (ps), unnest(ps) AS bit, generate_subscripts(ps, 1) AS k FROM sp),
+sg AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(bit, '{_ABBREVIATED}') THEN 0 ELSE 1 END) OVER (PARTITION BY source_doc, section_id, page_num, piece, para ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM su),
+ss AS (SELECT source_doc, section_id, page_num, piece, para, any_value(text) AS whole, grp, {_strip("string_agg(bit, ' ' ORDER BY k)")} AS said FROM sg GROUP BY 1, 2, 3, 4, 5, 7),
+sl AS (SELECT source_doc, section_id, page_num, piece, para, any_value(whole) AS whole, list(said ORDER BY grp) FILTER (said <> '') AS said FROM ss GROUP BY 1, 2, 3, 4, 5),
+sx AS (SELECT source_doc, section_id, page_num, piece, para, CASE WHEN len(said) > 1 THEN said ELSE [whole] END AS parts FROM sl),
+sy AS (SELECT source_doc, section_id, page_num, piece, para, unnest(parts) AS text, generate_subscripts(parts, 1) AS sent FROM sx),
+sz AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS ls, {_words('text')} AS n FROM sy),
+so AS (SELECT source_doc, section_id, page_num, piece, para, sent, CASE WHEN n > 600 AND len(ls) > 1 THEN ls ELSE [text] END AS parts FROM sz),
+a0 AS (
+  SELECT source_doc, section_id, page_num, piece, para, 0 AS sent, 0 AS line, text FROM w WHERE n <= 600
+  UNION ALL SELECT source_doc, section_id, page_num, piece, para, sent, generate_subscripts(parts, 1), unnest(parts) FROM so),
+a AS (SELECT source_doc, section_id, page_num AS page, text, {_words('text')} AS n, row_number() OVER (PARTITION BY source_doc, section_id ORDER BY page_num, piece, para, sent, line) AS k, count(*) OVER (PARTITION BY source_doc, section_id) AS last FROM a0),
+pk AS (
+  SELECT source_doc, section_id, k, last, [{{'page': page, 'text': text, 'n': n}}] AS cur, NULL::STRUCT(page BIGINT, "text" VARCHAR, n BIGINT)[] AS done FROM a WHERE k = 1
+  UNION ALL
+  SELECT a.source_doc, a.section_id, a.k, a.last,
+    CASE WHEN list_sum(list_transform(cur, lambda u: u.n)) + a.n > 600 THEN cur[-(list_max(list_filter(range(1, len(cur) + 1), lambda j: j = 1 OR list_sum(list_transform(cur[-j:], lambda u: u.n)) <= 90))):] ELSE cur END || [{{'page': a.page, 'text': a.text, 'n': a.n}}],
+    CASE WHEN list_sum(list_transform(cur, lambda u: u.n)) + a.n > 600 THEN cur END
+  FROM pk JOIN a ON a.source_doc = pk.source_doc AND a.section_id = pk.section_id AND a.k = pk.k + 1),
+full_ AS (SELECT source_doc, section_id, k, done AS c FROM pk WHERE done IS NOT NULL UNION ALL SELECT source_doc, section_id, k + 1, cur FROM pk WHERE k = last),
+found AS (
+  SELECT source_doc, true AS is_table, page_num AS k1, generate_subscripts(tables, 1) AS k2, page_num AS page_start, page_num AS page_end, unnest(tables) AS text FROM t
+  UNION ALL SELECT source_doc, false, section_id, k, c[1].page, c[-1].page, array_to_string(list_transform(c, lambda u: u.text), ' ') FROM full_),
+kept AS (SELECT *, {_words('text')} AS token_count FROM found WHERE {_words('text')} BETWEEN 40 AND 1200),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source_doc ORDER BY NOT is_table, k1, k2) AS row FROM kept),
+named AS (SELECT *, printf('%s_c%05d', regexp_replace(string_split(source_doc, '/')[-1], '^(.+)\\.[^.]+$', '\\1'), row) AS chunk_id FROM ranked)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    abbreviated = rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(a.replace('.', chr(92) + '.') for a in T.ABBREVIATIONS)})\.{_SP}*$"
     found = {
         "clean_html": _page_sql("tags", "regexp_replace($T, '<[^>]+>', ' ', 'g')"), "collapse_ws": _page_sql("blanks", r"regexp_replace($T, '[ \t]{2,}', ' ', 'g')"),
         "collapse_blank": _page_sql("lines", r"regexp_replace($T, '\n{3,}', chr(10) || chr(10), 'g')"), "strip": _page_sql("lines", _strip("$T")),
@@ -290,7 +410,7 @@ SELECT page_seq, CASE WHEN coalesce(hit, 0) > 0 THEN {_strip("array_to_string(ls
         "sentences": f"""
 WITH p AS (SELECT page_seq, string_split(regexp_replace({_strip('text')}, '([.!?]){_SP}+([A-Z0-9"''])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM {_DISTINCT_PAGES}),
 u AS (SELECT page_seq, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM p),
-g AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(piece, '{abbreviated}') THEN 0 ELSE 1 END) OVER (PARTITION BY page_seq ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM u),
+g AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(piece, '{_ABBREVIATED}') THEN 0 ELSE 1 END) OVER (PARTITION BY page_seq ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM u),
 s AS (SELECT page_seq, grp, {_strip("string_agg(piece, ' ' ORDER BY k)")} AS part FROM g GROUP BY 1, 2)
 SELECT page_seq, part, row_number() OVER (PARTITION BY page_seq ORDER BY grp) - 1 AS pos FROM s WHERE part <> ''""",
         "hard_sections": f"""
@@ -317,7 +437,26 @@ WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.page_seq = b.page_seq AND x.source_doc
 SELECT DISTINCT chunk_seq, md5(CASE WHEN coalesce(is_table, false) THEN {_q(P.GROUNDING + P.TABLE_FRAME[0])} || text || {_q(P.TABLE_FRAME[1])} ELSE {_q(P.GROUNDING + P.TEXT_FRAME[0])} || text || {_q(P.TEXT_FRAME[1])} END) AS prompt_md5
 FROM chunks WHERE text IS NOT NULL""",
         "insufficient_filter": "SELECT DISTINCT record_seq FROM validated_records WHERE contains(lower(answer), 'insufficient context') OR contains(lower(answer), 'not enough information')",
-        "variant_explode": "SELECT v::INT AS variant, record_seq * 3 + v AS record_seq FROM (SELECT DISTINCT record_seq FROM validated_records), range(3) t(v)",
+        "nfkc": _page_sql("tags", _composed("$T")), "clean_text": _page_sql("email", _cleaned("$T")),
+        "clean_pages": f"""
+WITH p AS (SELECT DISTINCT ON (page_seq) page_seq, source_doc, coalesce(text, '') AS raw, coalesce(tables, []) AS raw_tables FROM pdf_pages),
+c AS (SELECT *, {_cleaned("raw")} AS done, list_transform(raw_tables, lambda y: {_cleaned("y")}) AS tables FROM p WHERE length({_strip("raw")}) >= 20 OR len(raw_tables) > 0),
+d AS (SELECT source_doc, page_seq, {_cut_back("done")} AS text, tables FROM c)
+SELECT source_doc, page_seq, text, array_to_string(tables, chr(10) || '---' || chr(10)) AS tables FROM d WHERE text <> '' OR len(tables) > 0""",
+        "pack_chunks": _PACKED + " SELECT chunk_id, source_doc, page_start, page_end, text, is_table, token_count FROM named",
+        "append_chunks": _PACKED + """
+SELECT row_number() OVER (ORDER BY doc_seq, row) - 1 AS chunk_seq, doc_seq, chunk_id, source_doc, page_start, page_end, text, is_table, token_count
+FROM named JOIN (SELECT DISTINCT doc_seq, source_doc FROM source_docs) USING (source_doc)""",
+        "variant_explode": _EXTRACTED + """
+SELECT chunk_seq * 3 + v AS record_seq, CASE WHEN v = 0 THEN question ELSE 'In short, ' || lower(left(question, 1)) || substr(question, 2) END AS question FROM k, range(3) t(v)""",
+        "generate_extractive": _EXTRACTED + f"""
+SELECT chunk_seq * 2 + v AS record_seq, [{", ".join(map(_q, P.SYSTEM_PROMPTS))}][chunk_seq % 4 + 1] AS system, CASE WHEN v = 0 THEN question ELSE 'In short, ' || lower(left(question, 1)) || substr(question, 2) END AS question,
+  answer, source_doc, page_start, page_end, chunk_id, token_count AS chunk_token_count, is_table FROM k, range(2) t(v)""",
+        "skipped_chunks": f"""
+WITH c AS (SELECT DISTINCT ON (chunk_seq) chunk_seq, {_strip("text")} || CASE WHEN chunk_seq % 9 = 0 THEN ' INSUFFICIENT context' ELSE '' END AS a FROM chunks WHERE text IS NOT NULL)
+SELECT chunk_seq, CASE WHEN a = '' THEN 'missing question/answer field' ELSE 'insufficient context' END AS skip_reason FROM c
+WHERE a = '' OR contains(lower(a), 'insufficient context') OR contains(lower(a), 'not enough information')""",
+        "gate_edges": _JUDGED.replace(_RAW, _EDGED) + " SELECT record_seq, reject_reason FROM j",
         "normalize_key": f"SELECT DISTINCT record_seq, {_KEY('question')} AS q_norm, {_KEY('answer')} AS a_norm FROM validated_records WHERE answer IS NOT NULL",
         "gate_verdicts": _JUDGED + " SELECT record_seq, reject_reason FROM j",
         "run_stats": _JUDGED + " SELECT count(*) AS generated, count(*) FILTER (reject_reason IS NULL) AS passed, count(*) FILTER (reject_reason IS NOT NULL) AS rejected FROM j",
