@@ -37,8 +37,9 @@ def normal_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9 ]", ""))
 
 
-def verdicts(records: DataFrame, config: RunConfig = RunConfig(), count: Counter = word_counter) -> DataFrame:
-    """``records`` with their stored fields, ``q_norm``, ``a_norm`` and ``reject_reason`` (null: accepted)."""
+def row_checks(records: DataFrame, config: RunConfig = RunConfig(), count: Counter = word_counter) -> DataFrame:
+    """``records`` with their stored fields, ``q_norm``, ``a_norm``, and the reasons of the checks before and after dedup
+    (``__early``, ``__late``; both null: the row may claim its key). Narrow."""
     asked = F.coalesce("question", F.lit(""))
     bare = strip_preamble(asked, config.strict_preamble) if config.strip_meta_questions else asked
     df = records.withColumns({"__asked": asked, "__bare": bare})
@@ -65,13 +66,18 @@ def verdicts(records: DataFrame, config: RunConfig = RunConfig(), count: Counter
         .when((F.coalesce("chunk_token_count", F.lit(0)) != 0) & (F.col("__a") > F.col("chunk_token_count") * config.length_ratio_limit), "answer implausibly long vs source chunk")
         .when(F.col("__total") > config.max_seq_tokens, F.format_string("exceeds max_seq_tokens (%d > %d)", F.col("__total"), F.lit(config.max_seq_tokens)))
     )
-    df = df.withColumn("__late", late)
+    return df.withColumn("__late", late).drop("__asked", "__bare", "__short", "__meta", "__a", "__total")
+
+
+def verdicts(records: DataFrame, config: RunConfig = RunConfig(), count: Counter = word_counter) -> DataFrame:
+    """``records`` with their stored fields, ``q_norm``, ``a_norm`` and ``reject_reason`` (null: accepted)."""
+    df = row_checks(records, config, count)
     # only keys that repeat and are claimed come back: few rows, mostly sent to all tasks by the adaptive plan
     claims = df.where("__early IS NULL").groupBy("q_norm", "a_norm").agg(F.min(F.when(F.col("__late").isNull(), F.col("record_seq"))).alias("__first"), F.count("*").alias("__n"))
     claims = claims.where("__n > 1 AND __first IS NOT NULL").select(F.col("q_norm").alias("__q"), F.col("a_norm").alias("__k"), "__first")
     df = df.join(claims, (F.col("q_norm") == F.col("__q")) & (F.col("a_norm") == F.col("__k")) & F.col("__early").isNull(), "left")
     reason = F.coalesce("__early", F.when(F.col("__first") < F.col("record_seq"), "duplicate question/answer pair"), "__late")
-    return df.withColumn("reject_reason", reason).drop("__asked", "__bare", "__short", "__meta", "__early", "__late", "__a", "__total", "__q", "__k", "__first")
+    return df.withColumn("reject_reason", reason).drop("__early", "__late", "__q", "__k", "__first")
 
 
 def gate(records: DataFrame, config: RunConfig = RunConfig(), count: Counter = word_counter) -> tuple[DataFrame, DataFrame]:
