@@ -5,8 +5,9 @@ of prose lines together. In spaced scripts the possible terminators of a run for
 sentence end to the next is scored from the terminator, the word before it (abbreviations, initials, ordinals),
 the word after it, quotation marks and how the sentence began, and the best path gives the sentences. In
 scripts without spaces, text between gaps is segmented by the cheapest path through a lattice of dictionary
-words; whether a gap ends a sentence is scored from the final particle or linking word before it, the opening
-or linking word after it and the length of both stretches. In Chinese and Japanese a gap within a line is an end
+words; whether a gap ends a sentence is decided by a logistic rule over the final particle or linking word before it,
+the opening or linking word after it, the verbs on both sides and the length of both stretches. Its weights are fitted
+to sentences of general prose. Stretches are segmented whole, and once. In Chinese and Japanese a gap within a line is an end
 only where a final word before it says so, alone or with an opening word after it.
 
 Defined cases: null, empty and blank texts have no sentence; a text without terminator is one sentence; white
@@ -18,7 +19,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -38,7 +41,10 @@ OPENERS = set("the a an this that these those it he she they we you i there in o
 
 OPEN_CLOSE = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】", "〈": "〉", "《": "》", "‘": "’", '"': '"', "＂": "＂"}
 BRACKETS = set("([（【")
+QUOTES = re.compile("[" + re.escape("".join(sorted({*OPEN_CLOSE, *"".join(OPEN_CLOSE.values())}))) + "]")
 CLOSERS = "\"'”’»›」』)]）】〉》“"
+ONLY_CLOSERS = re.compile(r"[\s" + re.escape(CLOSERS) + "]*")
+SAYS_ON = re.compile(r"\s*(?:と|って|の|は|が|を|に|で|も|的|地|得)")
 TERMINATOR = re.compile(r"[.!?…؟۔।॥。！？｡．]+")
 WIDE = set("。！？｡")
 WIDE_SCRIPT = re.compile(r"[぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ]")
@@ -150,29 +156,32 @@ def quoted(text: str) -> list[tuple[int, int]]:
     """Outermost matched pairs of quotation marks or brackets, as ``(open, close)``."""
     out: list[tuple[int, int]] = []
     stack: list[tuple[int, str]] = []
-    for k, c in enumerate(text):
+    straight = 0  # open straight quotation marks
+
+    def close(k: int) -> None:
+        at, _ = stack.pop()
+        while out and out[-1][0] > at:  # what it encloses
+            out.pop()
+        out.append((at, k))
+
+    for m in QUOTES.finditer(text):
+        k, c = m.start(), m.group()
         if stack and c in OPEN_CLOSE[stack[-1][1]] and not (c == '"' and stack[-1][1] != '"'):
-            at, _ = stack.pop()
-            out = [p for p in out if p[0] < at]
-            out.append((at, k))
-        elif c == '"' and any(q == '"' for _, q in stack):
+            straight -= stack[-1][1] == '"'
+            close(k)
+        elif c == '"' and straight:
             while stack[-1][1] != '"':
                 stack.pop()
-            at, _ = stack.pop()
-            out = [p for p in out if p[0] < at]
-            out.append((at, k))
+            straight -= 1
+            close(k)
         elif c in OPEN_CLOSE:
             if c == "‘" or (c in "“" and stack and stack[-1][1] == "„"):
                 continue
             if c == '"' and k and text[k - 1].isdigit() and not (k + 1 < len(text) and text[k + 1].isalnum()):
                 continue
+            straight += c == '"'
             stack.append((k, c))
-    out.sort()
-    outer: list[tuple[int, int]] = []
-    for a, b in out:
-        if not outer or a > outer[-1][1]:
-            outer.append((a, b))
-    return outer
+    return out
 
 
 def _next_token(text: str, at: int) -> tuple[str, str]:
@@ -185,6 +194,11 @@ def _next_token(text: str, at: int) -> tuple[str, str]:
     return text[at], m.group() if m else ""
 
 
+LETTER = re.compile(r"[^\W_]")
+ITEM_START = re.compile(r"\s*[\w.)]{1,4}[.)]\s")
+LEAST, MOST, PASSED = -5.0, 5.0, 0.5
+
+
 class Cut:
     """A place where a sentence may end, with what does not depend on where the sentence began."""
 
@@ -195,13 +209,22 @@ class Cut:
         self.sure = score >= 3 and not needs_lower and quote_open < 0
 
 
+def _word_start(text: str, at: int) -> int:
+    """Where the run without white space and wide signs begins that ends at ``at``."""
+    while at and not text[at - 1].isspace() and not WIDE_SCRIPT.match(text[at - 1]):
+        at -= 1
+    return at
+
+
 def dot_score(text: str, at: int, end: int, sign: str, word: str) -> tuple[float, bool]:
     """Score of a single dot at ``at`` whose closers end at ``end``; whether it only holds where the sentence
     began in lower case. ``sign`` and ``word`` follow it."""
-    chunks = text[max(0, at - 40) : at].split()
-    glued = at and not text[at - 1].isspace()
-    last = chunks[-1].lstrip(CLOSERS + "([{«„“‘¿¡") if chunks and glued else ""
-    previous = chunks[-2] if len(chunks) > 1 else ""
+    start = _word_start(text, at)
+    last = text[start:at].lstrip(CLOSERS + "([{«„“‘¿¡")
+    stop = start
+    while stop and text[stop - 1].isspace():
+        stop -= 1
+    previous = text[_word_start(text, stop) : stop]
     compact = last.lower()
     if previous.endswith(".") and len(previous) <= 4 and len(last) <= 2:
         compact = (previous.lstrip("([{«„“") + last).lower()
@@ -237,6 +260,7 @@ def cuts_of(text: str) -> list[Cut]:
     """The possible sentence ends of a run, in order; the end of the run is not among them."""
     pairs = quoted(text)
     opens = [a for a, _ in pairs]
+    opening = set(opens)
     cuts: list[Cut] = []
     caseless = bool(NO_CASE.search(text))
     last = len(text.rstrip())
@@ -247,10 +271,10 @@ def cuts_of(text: str) -> list[Cut]:
         end = b
         if inside:
             close = pairs[k][1]
-            if text[b:close].strip() and text[b:close].strip(CLOSERS + "   "):
+            if ONLY_CLOSERS.match(text, b, close).end() < close:
                 continue
             end = close + 1
-        while end < len(text) and text[end] in CLOSERS and not (text[end] in '"' and end in opens) and text[end] not in "“(":
+        while end < len(text) and text[end] in CLOSERS and not (text[end] in '"' and end in opening) and text[end] not in "“(":
             end += 1
         if end >= last:
             continue
@@ -264,7 +288,7 @@ def cuts_of(text: str) -> list[Cut]:
         signs = m.group()
         if inside:
             bracket = text[pairs[k][0]] in BRACKETS
-            if sign.islower() or sign in ",;:、，；：–—-)）" or re.match(r"\s*(?:と|って|の|は|が|を|に|で|も|的|地|得)", text[end:]):
+            if sign.islower() or sign in ",;:、，；：–—-)）" or SAYS_ON.match(text, end):
                 continue
             if bracket:
                 inner = text[pairs[k][0] + 1 : pairs[k][0] + 2]
@@ -298,39 +322,68 @@ def cuts_of(text: str) -> list[Cut]:
     return cuts
 
 
-def _arc(text: str, start: int, cut: Cut, caseless: bool) -> float:
-    """Score of a sentence from ``start`` to ``cut``."""
-    first = re.compile(r"[^\W_]").search(text, start, cut.end)
-    if not first:
-        return -5.0
-    if cut.needs_lower and not (first.group().islower() and not re.match(r"\s*[\w.)]{1,4}[.)]\s", text[start : start + 8])):
-        return -1.0
-    if cut.quote_open >= 0:
-        head = text[start : cut.quote_open].strip()
-        if text[cut.quote_open] in BRACKETS:
-            return cut.score if not head else -1.0
-        if not head:  # a quotation that opens the sentence is followed by who said it
-            sign, _ = _next_token(text, cut.end)
-            return -1.0 if caseless or not sign.isupper() and not sign.isdigit() else 0.5
+class Start:
+    """A place where a sentence may begin, with what every arc from it needs."""
+
+    def __init__(self, text: str, at: int):
+        self.text, self.at = text, at
+        first = LETTER.search(text, at)
+        self.first = first.start() if first else len(text)
+        self.lower = bool(first) and first.group().islower() and not ITEM_START.match(text, at)
+        token = TOKEN.search(text, at)
+        token = TOKEN.search(text, token.end()) if token else None
+        self.second = token.start() if token else len(text)
+
+    def arc(self, cut: Cut, caseless: bool) -> float:
+        """Score of a sentence from here to ``cut``."""
+        text = self.text
+        if self.first >= cut.end:
+            return -5.0
+        if cut.needs_lower and not self.lower:
+            return -1.0
+        if cut.quote_open >= 0:
+            bare = text[self.at : cut.quote_open].isspace() or self.at == cut.quote_open if self.first > cut.quote_open else False
+            if text[cut.quote_open] in BRACKETS:
+                return cut.score if bare else -1.0
+            if bare:  # a quotation that opens the sentence is followed by who said it
+                sign, _ = _next_token(text, cut.end)
+                return -1.0 if caseless or not sign.isupper() and not sign.isdigit() else 0.5
+            return cut.score
+        if self.second >= cut.end and cut.score < 4:
+            return cut.score - 1.0
         return cut.score
-    if len(TOKEN.findall(text[start : cut.end])) < 2 and cut.score < 4:
-        return cut.score - 1.0
-    return cut.score
 
 
 def best_path(text: str) -> list[int]:
-    """Sentence ends of a run of a spaced script: the best path through the lattice of its terminators."""
+    """Sentence ends of a run of a spaced script: the best path through the lattice of its terminators.
+
+    A start is given up as soon as no arc from it can win any more: arcs score between ``LEAST`` and ``MOST``, and each
+    end that an arc passes over though it would have done costs ``PASSED``.
+    """
     cuts = cuts_of(text)
     caseless = bool(NO_CASE.search(text))
     ends: list[int] = []
     base, k = 0, 0
     while k < len(cuts):
-        stop = next((j for j in range(k, min(k + 40, len(cuts))) if cuts[j].sure), min(k + 40, len(cuts)) - 1)
+        stop = k
+        while stop < len(cuts) - 1 and not cuts[stop].sure:
+            stop += 1
         nodes = [base, *(c.end for c in cuts[k : stop + 1])]
-        arcs = [[_arc(text, nodes[i], cuts[k + j - 1], caseless) if j > i else 0.0 for j in range(len(nodes))] for i in range(len(nodes))]
         best: list[tuple[float, int]] = [(0.0, -1)]
-        for j in range(1, len(nodes)):  # an arc over an end that would have done costs a little
-            best.append(max((best[i][0] + arcs[i][j] - 0.5 * sum(arcs[i][m] > 0 for m in range(i + 1, j)), i) for i in range(j)))
+        open_: list[list] = [[0, Start(text, base), 0]]  # node, start, ends passed over
+        for j in range(1, len(nodes)):
+            cut, found = cuts[k + j - 1], None
+            for o in open_:
+                arc = o[1].arc(cut, caseless)
+                value = best[o[0]][0] + arc - PASSED * o[2]
+                if found is None or (value, o[0]) > found:
+                    found = (value, o[0])
+                o[2] += arc > 0
+            best.append(found)
+            if j + 1 < len(nodes):
+                open_.append([j, Start(text, nodes[j]), 0])
+                least = max(best[o[0]][0] - PASSED * o[2] for o in open_) + LEAST
+                open_ = [o for o in open_ if best[o[0]][0] - PASSED * o[2] + MOST >= least]
         reached = [j for j in range(len(nodes)) if j == 0 or best[j][0] >= 0]
         at = max(reached, key=lambda j: (best[j][0], j))
         path = []
@@ -357,9 +410,28 @@ THINGS = "หัวหน้า แผ่น งาน ราว ทาง ท
 OPENING = [*THINGS, *"มี เขา เธอ เรา ผม ฉัน คุณ นาย นาง นี่ นั่น นี้ วันนี้ เมื่อวาน ถ้า หาก ดังนั้น อย่างไรก็ตาม นอกจาก ທ່ານ ຂ້ອຍ".split()]
 # Words that end like a final particle.
 NOT_FINAL = "ชนะ".split()
-COSTS = {**{w: 0.9 for w in OPENING}, **{w: 0.8 for w in GOES_ON_WITH}, **{w: 0.8 for w in LINKS_ON}, **{w: 0.7 for w in FINAL}, **{w: 0.6 for w in NOT_FINAL}}
+# Everyday verbs, nouns and titles of Thai, and words before numbers and units.
+VERBS = "ทำ กิน ดื่ม นอน เดิน วิ่ง นั่ง ยืน พูด บอก กล่าว ถาม ตอบ อ่าน เขียน ฟัง ดู เห็น มอง คิด รู้ เข้าใจ จำ ลืม รัก ชอบ เกลียด กลัว อยาก ต้องการ ซื้อ ขาย จ่าย รับ ส่ง เปิด ปิด เริ่ม หยุด เรียน สอน ทำงาน เล่น ช่วย ใช้ สร้าง ซ่อม วัด ตรวจ พบ หา เจอ ออก เข้า กลับ ขึ้น ลง ผ่าน ตก เกิด ตาย อาศัย เดินทาง ประกาศ รายงาน สั่ง ขอ ยืม คืน เก็บ ล้าง ตัด ปลูก เลี้ยง ชนะ แพ้ เปลี่ยน เพิ่ม ลด ติดตั้ง เสนอ แนะนำ ตัดสินใจ ได้รับ แสดง ขายดี ขับ จอด ชวน เชิญ".split()
+NOUNS = "บ้าน วัด โรงเรียน โรงพยาบาล ตลาด ร้าน ถนน รถ รถไฟ รถเมล์ เรือ น้ำ ข้าว อาหาร ผลไม้ ผัก ปลา หมู ไก่ หมา แมว นก ต้นไม้ ดอกไม้ ภูเขา ทะเล แม่น้ำ ฝน ลม แดด หนังสือ กระดาษ ปากกา โต๊ะ เก้าอี้ ประตู หน้าต่าง เสื้อ กางเกง รองเท้า เงิน ราคา สินค้า บริษัท ครู นักเรียน หมอ ตำรวจ พ่อ แม่ ลูก พี่ น้อง เพื่อน เด็ก ผู้ชาย ผู้หญิง ประเทศ เมือง หมู่บ้าน จังหวัด เวลา เช้า เย็น กลางคืน เดือน สัปดาห์ ปัญหา ข่าว ภาษา เพลง ภาพ".split()
+TITLES = "นาย นาง นางสาว คุณ ดร. เด็กชาย เด็กหญิง พระ อาจารย์ ท้าว ນາຍ ນາງ ທ່ານ".split()
+KINDS = [POLITE, FINAL, LINKS_ON, GOES_ON_WITH, OPENING, VERBS, NOUNS, TITLES]
+COSTS = {**{w: 0.9 for w in NOUNS}, **{w: 0.9 for w in VERBS}, **{w: 0.9 for w in OPENING}, **{w: 0.85 for w in TITLES}, **{w: 0.8 for w in GOES_ON_WITH}, **{w: 0.8 for w in LINKS_ON}, **{w: 0.7 for w in FINAL}, **{w: 0.6 for w in NOT_FINAL}}
+_SETS = [frozenset(k) for k in (POLITE, FINAL, LINKS_ON, GOES_ON_WITH, OPENING, VERBS, TITLES, THINGS)]
+#: Signs that never begin a word, since they are written on the sign before, and signs that never end one.
+LEANS, LEADS = re.compile(r"[\u0e30-\u0e3a\u0e45-\u0e4e\u0eb0-\u0ebc\u0ec6-\u0ecd]"), re.compile(r"[\u0e40-\u0e44\u0ec0-\u0ec4]")
 #: Signs from which a stretch may be a clause.
 CLAUSE_SIGNS = 16
+# General prose, by which gaps are told: ``|`` is a gap that ends a sentence, ``_`` one that does not.
+GAPS = [
+    "เมื่อเช้าฝนตกหนักมาก|เด็กๆจึงเล่นอยู่ในบ้าน", "แม่ไปตลาดตั้งแต่เช้า|พ่อนั่งอ่านหนังสือพิมพ์อยู่หน้าบ้าน", "นาย_สมศักดิ์_รักไทย_บอกว่าปีนี้ข้าวราคาดี", "ราคา_250_บาท", "เขาซื้อปลา_ไก่_และผักมาทำอาหารเย็น", "ร้านนี้เปิด_8_โมงเช้า|ปิดตอนสามทุ่ม",
+    "ครูถามนักเรียนว่า_ใครทำการบ้านเสร็จแล้ว", "ขอบคุณมากครับ|แต่วันนี้ผมไม่ว่าง", "วันนี้อากาศดี|เราควรออกไปเดินเล่นกัน", "พี่ชายของฉันทำงานที่โรงพยาบาล|ส่วนน้องสาวยังเรียนอยู่", "ถ้าฝนตก_เราจะเลื่อนการแข่งขันออกไป", "ประเทศไทยมี_77_จังหวัด|กรุงเทพมหานครเป็นเมืองหลวง",
+    "หนังสือเล่มนี้ราคา_120_บาท|ฉันซื้อมาจากร้านใกล้วัด", "เธอชอบดนตรี_กีฬา_ภาพยนตร์_และการเดินทาง", "ดร.สุภา_แสงทอง_กล่าวว่า_ปัญหานี้แก้ได้ไม่ยาก", "รถไฟออกเวลา_9.30_น.|ผู้โดยสารต้องมาถึงก่อนครึ่งชั่วโมง", "แมวนอนอยู่บนเก้าอี้|มันไม่ยอมลงมากินข้าว", "คุณพ่อชอบปลูกต้นไม้|หลังบ้านจึงมีดอกไม้เต็มไปหมด",
+    "เมื่อวานฉันไปทะเลกับเพื่อน|เราเห็นปลาตัวใหญ่มาก", "นักเรียนทั้งหมด_35_คน_เดินทางไปพิพิธภัณฑ์", "ตำรวจประกาศให้ปิดถนน_เพราะน้ำท่วมสูง", "คุณจะไปไหนคะ|ฉันจะไปตลาดค่ะ", "สินค้าใหม่_ราคา_99_บาท_ขายดีมาก", "เขาตอบว่า_ยังไม่รู้_แต่จะลองถามหมอดู",
+    "นางสาว_วิไล_ใจงาม_ได้รับรางวัลครูดีเด่น", "หมู่บ้านนี้อยู่ใกล้แม่น้ำ|ชาวบ้านส่วนใหญ่เลี้ยงปลา", "ฉันไม่ชอบกาแฟ|ฉันชอบชามากกว่า", "ประตูเปิดออก|มีผู้ชายคนหนึ่งเดินเข้ามา", "เพื่อนของผม_ซึ่งเป็นหมอ_ย้ายไปอยู่ต่างประเทศ", "เดือนหน้าบริษัทจะเพิ่มเงินเดือน|พนักงานทุกคนดีใจมาก",
+    "วัดแห่งนี้สร้างเมื่อ_พ.ศ._2310_โดยชาวบ้าน", "ลมแรงมาก|เรือออกจากท่าไม่ได้", "ข่าววันนี้_รัฐบาลเสนอให้ลดภาษี", "เด็กหญิง_มะลิ_เขียนจดหมายถึงแม่|แม่อ่านแล้วร้องไห้", "กรุณารอสักครู่ค่ะ|พนักงานกำลังมา", "โรงเรียนหยุดสามวัน|นักเรียนกลับบ้านต่างจังหวัด", "ผมซ่อมรถเสร็จแล้ว|พรุ่งนี้ขับไปทำงานได้เลย",
+    "ไปก่อนนะครับ|ลาก่อน", "กินข้าวค่ะ|ล้างมือ", "นอนเถอะครับ|ดึกแล้ว", "แดดออก|เราเล่น", "น้ำขึ้น|เขากลับ", "ไฟดับ|ผมกลัว", "หมาเห่า|เธอตื่น", "ลมพัด_ใบไม้ร่วง", "ข้าวสวย_แกงไก่", "ฟ้าร้อง_ฟ้าผ่า", "เงินหมด|ฉันกลับ", "ຝົນຢຸດ|ຂ້ອຍກັບ", "ໄຟດັບ|ທ່ານນອນ", "ລົມພັດ_ໃບໄມ້ລົ່ນ",
+    "ມື້ນີ້ຝົນຕົກແຮງຫຼາຍ|ພວກເຮົາຈຶ່ງຢູ່ເຮືອນ", "ລາຄາ_500_ກີບ", "ລາວຊື້ປາ_ຜັກ_ແລະ_ໝາກໄມ້",
+]
 #: Sentence marks of Khmer and Burmese; a text that has them ends its sentences with them.
 MARKED = re.compile(r"[។៕။]")
 # How Chinese and Japanese sentences end, surely or perhaps, and how they open or go on.
@@ -372,16 +444,19 @@ LONGEST = max(map(len, COSTS))
 
 
 def segment(text: str) -> list[str]:
-    """The cheapest path through the lattice of dictionary words; what no word covers costs 1 a sign."""
+    """The cheapest path through the lattice of dictionary words; what no word covers costs 1 a sign. No word begins
+    with a sign that leans on the one before, or ends with one that leads the next."""
     n = len(text)
     best: list[tuple[float, int]] = [(0.0, 0)] + [(float("inf"), 0)] * n
     for k in range(n):
         cost = best[k][0]
         if cost + 1 < best[k + 1][0]:
             best[k + 1] = (cost + 1, k)
+        if LEANS.match(text, k) or k and LEADS.match(text, k - 1):
+            continue
         for size in range(2, min(LONGEST, n - k) + 1):
             word = text[k : k + size]
-            if word in COSTS and cost + COSTS[word] < best[k + size][0]:
+            if word in COSTS and cost + COSTS[word] < best[k + size][0] and not LEANS.match(text, k + size):
                 best[k + size] = (cost + COSTS[word], k)
     words, at = [], n
     while at:
@@ -390,22 +465,62 @@ def segment(text: str) -> list[str]:
     return words[::-1]
 
 
+class Stretch:
+    """A stretch between two gaps: its words, and what the rule asks of them."""
+
+    def __init__(self, text: str):
+        self.text, self.size = text, len(text)
+        self.thai = bool(SPACELESS.search(text))
+        words = segment(text) if self.thai else [text]
+        self.first, self.last = (words[0], words[-1]) if words else ("", "")
+        self.verbs = sum(w in _SETS[5] for w in words)
+        self.links = sum(w in _SETS[2] for w in words)
+        self.title = any(text.startswith(t) for t in TITLES)
+
+
+def gap_features(left: Stretch, right: Stretch, said: int, verbs: int) -> list[float]:
+    """What decides a gap; ``said`` signs and ``verbs`` have come since the sentence began."""
+    polite, final, links_on, goes_on, opening, verb, _, things = _SETS
+    long = right.size >= CLAUSE_SIGNS
+    return [
+        1.0, left.last in polite, left.last in final, left.last in links_on, right.first in goes_on, right.first in opening and (long or right.first not in things), min(said, 48) / 16, min(right.size, 48) / 16,
+        verbs > 0, right.verbs > 0, right.first in verb, left.title and not left.verbs, left.text[-1].isdigit() or right.text[0].isdigit(), not left.thai, not right.thai, left.size < 8, right.size < 8, long and said >= CLAUSE_SIGNS, long and said >= CLAUSE_SIGNS and right.verbs + right.links > 0, left.links + left.verbs > 0,
+    ]
+
+
+@lru_cache(maxsize=1)
+def gap_weights() -> np.ndarray:
+    """The weights of the rule: logistic regression on ``GAPS``, with a ridge."""
+    x, y = [], []
+    for text in GAPS:
+        pieces = re.split(r"([|_])", text)
+        said, verbs = 0, 0
+        for k in range(1, len(pieces), 2):
+            left, right = Stretch(pieces[k - 1]), Stretch(pieces[k + 1])
+            said, verbs = said + left.size, verbs + left.verbs
+            x.append(gap_features(left, right, said, verbs))
+            y.append(pieces[k] == "|")
+            if pieces[k] == "|":
+                said, verbs = 0, 0
+    x, y = np.array(x, float), np.array(y, float)
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x.T * (p * (1 - p))) @ x + 0.3 * np.eye(len(w)), x.T @ (y - p) - 0.3 * w)
+    return w
+
+
 def gap_ends(left: str, right: str) -> bool:
-    """Whether the gap between two stretches of a spaceless script ends a sentence."""
-    if not left or not right or not SPACELESS.search(left + right):
+    """Whether the gap between two stretches of a spaceless script ends a sentence, if one began with the left one."""
+    a, b = Stretch(left), Stretch(right)
+    return ends_at(a, b, a.size, a.verbs)
+
+
+def ends_at(left: Stretch, right: Stretch, said: int, verbs: int) -> bool:
+    """``gap_ends`` where ``said`` signs and ``verbs`` have come since the sentence began."""
+    if not left.thai and not right.thai or right.text[0] in "ๆฯ,;:)" or left.text[-1] in ",;:(":
         return False
-    last, first = segment(left[-40:])[-1], segment(right[:40])[0]
-    clause = len(right) >= CLAUSE_SIGNS
-    score = 0.4 if clause and len(left) >= CLAUSE_SIGNS else -0.6
-    score += 3.0 if last in POLITE else 1.0 if last in FINAL else -3.0 * (last in LINKS_ON)
-    score += (clause or first not in THINGS) if first in OPENING else -2.0 * (first in GOES_ON_WITH)
-    if right[0] in "ๆฯ,;:)" or left[-1] in ",;:(":
-        score -= 6.0
-    elif left[-1].isdigit() and SPACELESS.match(right[0]) or right[0].isdigit():
-        score -= 2.0
-    if not SPACELESS.search(left[-12:]) and not SPACELESS.search(right[:12]):
-        score -= 2.0
-    return score > 0
+    return float(np.dot(gap_weights(), gap_features(left, right, said, verbs))) > 0
 
 
 def wide_gap_ends(left: str, right: str) -> bool:
@@ -419,18 +534,19 @@ def wide_gap_ends(left: str, right: str) -> bool:
 def spaceless_ends(text: str) -> list[int]:
     """Sentence ends of a run in a spaceless script without obligatory terminators."""
     pairs = quoted(text)
-    ends = []
-    start = 0
+    opens = [a for a, _ in pairs]
+    ends: list[int] = []
     marked = bool(MARKED.search(text))
-    for m in re.finditer(r"\s+", text):
-        if any(a < m.start() < b for a, b in pairs):
-            continue
-        left, right = text[start : m.start()].rstrip(), text[m.end() :]
-        left = left.rsplit(None, 1)[-1] if left else left
-        right = right.split(None, 1)[0] if right else right
-        if right and (left[-1:] in {*"។៕။"} or not marked and gap_ends(left, right) or left and left[-1] in ".!?" and not right[0].islower()):
-            ends.append(m.start())
-            start = m.end()
+    left, stop, said, verbs = None, 0, 0, 0
+    for m in re.finditer(r"\S+", text):
+        right = Stretch(m.group())
+        if left is not None:
+            k = bisect_right(opens, stop) - 1
+            if not (k >= 0 and stop < pairs[k][1]) and (left.text[-1] in "។៕။" or not marked and ends_at(left, right, said, verbs) or left.text[-1] in ".!?" and not right.text[0].islower()):
+                ends.append(stop)
+                said, verbs = 0, 0
+        left, stop = right, m.end()
+        said, verbs = said + right.size, verbs + right.verbs
     return ends
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from quirework.llm import sentences
@@ -71,6 +73,47 @@ def test_particles_and_openers_decide(parts):
     assert cut(" ".join(parts)) == parts
 
 
+PROSE = [
+    ["นายสมชาย ใจดี กล่าวว่า สินค้า ราคา 500 บาท ขายดี"], ["คุณยายทำขนมอยู่ในครัว", "หลานๆนั่งรออยู่ที่โต๊ะ"], ["ตลาดนี้ขายผัก ผลไม้ และดอกไม้"], ["ห้องสมุดเปิด 9 โมงเช้า", "เด็กๆชอบมาอ่านหนังสือที่นี่"], ["ถ้าเธอว่าง เราไปดูหนังกันไหม"],
+    ["ดร.วิชัย ทองดี ตอบว่า โครงการนี้ใช้เงิน 3 ล้านบาท"], ["ผมไม่สบายครับ", "วันนี้ขอลาหนึ่งวัน"], ["แม่ค้าบอกว่า มะม่วงกิโลกรัมละ 40 บาท"], ["รถเสียกลางทาง", "เราต้องเดินไปโรงเรียนเอง"], ["เพื่อนบ้านเลี้ยงแมวสามตัว", "ทุกตัวชอบนอนใต้ต้นไม้หน้าบ้าน"],
+    ["ฉันซื้อกระเป๋า รองเท้า และหมวก ที่ร้านใกล้บ้าน"], ["งานเริ่มเวลา 18.00 น. ที่หอประชุม"],
+]
+
+
+def test_thai_prose():
+    """Prose that the gaps were not fitted to: nine of ten gaps right at least."""
+    right = total = 0
+    for parts in PROSE:
+        text = " ".join(parts)
+        want, got = {len(" ".join(parts[: k + 1])) for k in range(len(parts))}, set(sentences.sentence_ends(text))
+        gaps = [k for k, c in enumerate(text) if c == " "]
+        right, total = right + sum((k in want) == (k in got) for k in gaps), total + len(gaps)
+    assert right >= 0.9 * total, (right, total)
+
+
+@pytest.mark.parametrize("unit", ['He said "stop. go on. (well)" and left. "Quote one. Two." ok. ', "one. two. three. ", "กข ", 'x ( y. "', "(a. b) ", "e.g. so "])
+def test_time_grows_with_the_text(unit):
+    spent = []
+    for n in (20_000, 160_000):
+        text = (unit * (n // len(unit) + 1))[:n]
+        start = time.process_time()
+        sentences.sentence_ends(text)
+        spent.append(time.process_time() - start)
+    assert spent[1] < 8 * 4 * max(spent[0], 0.02)
+
+
+def test_many_open_ends():
+    """More than forty terminators in a row of which none is sure."""
+    text = "abc no. " + "def ghi? jkl mno! " * 100 + "pqr"
+    assert cut(text) == ["abc no.", *["def ghi?", "jkl mno!"] * 100, "pqr"]
+
+
+def test_long_words_before_a_dot():
+    known = "x" * 60 + ".e.g. and so on"
+    assert sentences.dot_score("See Fig. 3", 7, 8, "3", "3") == sentences.dot_score("y" * 500 + " See Fig. 3", 508, 509, "3", "3")
+    assert len(cut(known)) == 1
+
+
 def test_operator_cases(spark):
     rows = [(1, None), (2, ""), (3, " \n "), (4, "One. Two!"), (4, "One. Two!"), (None, "One."), (5, "word " * 30_000 + "end. Next one"), (6, "... !!!")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS sentence")
