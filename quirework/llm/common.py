@@ -36,6 +36,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, salt_by: str, hot:
     """The inner join on ``key``. The rows of a key with many on the left are spread over salts by ``salt_by``, and
     those on the right repeated for each, so that no task makes the whole product of a hot key."""
     salts = left.groupBy(key).count().where(F.col("count") > hot).select(key, F.ceil(F.col("count") / hot).cast("int").alias("__salts"))
+    if salts.isEmpty():
+        return left.join(right, key)
     one = left.join(salts, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(salt_by), "__salts"), F.lit(0)).cast("int")).drop("__salts")
     many = right.join(salts, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
     return one.join(many, [key, "__salt"]).drop("__salt")

@@ -282,37 +282,33 @@ def _candidates(prefixes: DataFrame, plan: Plan, two_sides: bool) -> DataFrame:
     each of them (role 0), so their number is counted; all other pairs (roles 1 and 2) must miss nothing.
     """
     num, den = plan.threshold.numerator, plan.threshold.denominator
-    # One exchange for all roles: the random term keeps their filters above it, so that each part reuses it.
-    shuffled = prefixes.repartition("key").withColumn("part", F.col("role") * 2 + F.col("side") + (F.rand(1) * 0).cast("int"))
+    columns = ["key", "set", "role", "side", "n", "pos", "freq", "sig", "sig2", *_marked(plan)]
+    # One exchange that is read once for either end of the join: the random term keeps the filters above it. Keys of roles
+    # and sides that do not meet differ, so that one join serves all.
+    shuffled = prefixes.withColumn("key", F.xxhash64("key", F.when(F.col("role") == 0, -1).otherwise((F.col("role") + F.col("side")) % 2 if two_sides else 0))).repartition("key")
+    shuffled = shuffled.withColumn("part", F.col("role") * 2 + F.col("side") + (F.rand(1) * 0).cast("int"))
 
-    def part(role: int, side: int) -> DataFrame:
+    def end(*parts: tuple[int, int]) -> DataFrame:
         """Copies of a set that several tasks sent become one here, on the partitioning that the join needs."""
-        return shuffled.where(F.col("part") == role * 2 + side).dropDuplicates(["key", "set"]).select("key", "set", "n", "pos", "freq", "sig", "sig2", *_marked(plan))
+        return shuffled.where(F.col("part").isin([role * 2 + side for role, side in parts])).dropDuplicates(["key", "set"]).select(*columns)
 
     least = f"((({num} * (x.n + y.n) + {num + den - 1}) div {num + den}))"
     depth = f"(CASE WHEN x.n > {plan.combined_up_to} OR y.n > {plan.combined_up_to} THEN 1 ELSE {plan.depth} END)"
     lacks = lambda s, t: f"({s}.freq - bit_count({s}.sig & ~{t}.sig) - bit_count({s}.sig2 & ~{t}.sig2))"
     beyond = lambda s: f"greatest(0, {least} - {depth} - {s}.freq)"  # rare tokens after the prefix of this pair
     need = f"{least} - least({lacks('x', 'y')}, {lacks('y', 'x')})"
-
-    def meet(left: DataFrame, right: DataFrame, *, longer: bool, frequent: bool) -> DataFrame:
-        near = f"x.n * {num} <= y.n * {den} AND y.n * {num} <= x.n * {den} AND least(x.n - x.pos, y.n - y.pos) + {depth} >= {least} AND x.set <> y.set"
-        near += "".join(f" AND (x.{m} & y.{m}) <> 0" for m in _marked(plan))
-        if longer:
-            near += " AND x.n >= y.n"
-        if frequent:
-            near += f" AND {need} <= 0"
-        joined = left.alias("x").join(right.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(near))
-        asked = "0" if frequent else f"CAST(least({need} - {beyond('x')} - {beyond('y')}, 1000000) AS INT)"
-        return joined.select(F.col("x.set").alias("s"), F.col("y.set").alias("t"), F.expr(asked).alias("need"))
-
+    near = f"x.n * {num} <= y.n * {den} AND y.n * {num} <= x.n * {den} AND least(x.n - x.pos, y.n - y.pos) + {depth} >= {least} AND x.set <> y.set"
+    near += "".join(f" AND (x.{m} & y.{m}) <> 0" for m in _marked(plan))
+    near += f" AND (x.n >= y.n{' OR x.role = 0' if two_sides else ''}) AND (x.role = 0 OR {need} <= 0)"
     if two_sides:
-        swapped = meet(part(1, 1), part(2, 0), longer=True, frequent=True).select(F.col("t").alias("s"), F.col("s").alias("t"), "need")
-        pairs = meet(part(0, 0), part(0, 1), longer=False, frequent=False).unionByName(meet(part(1, 0), part(2, 1), longer=True, frequent=True)).unionByName(swapped)
-        ends = [F.col("s").alias("a"), F.col("t").alias("b")]
+        left, right = end((0, 0), (1, 0), (1, 1)), end((0, 1), (2, 1), (2, 0))
+        ends = [F.expr("if(side = 0, s, t)").alias("a"), F.expr("if(side = 0, t, s)").alias("b")]
     else:
-        pairs = meet(part(0, 0), part(0, 0), longer=True, frequent=False).unionByName(meet(part(1, 0), part(2, 0), longer=True, frequent=True))
+        left, right = end((0, 0), (1, 0)), end((0, 0), (2, 0))
         ends = [F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")]
+    joined = left.alias("x").join(right.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(near))
+    asked = f"CASE WHEN x.role > 0 THEN 0 ELSE CAST(least({need} - {beyond('x')} - {beyond('y')}, 1000000) AS INT) END"
+    pairs = joined.select(F.col("x.set").alias("s"), F.col("y.set").alias("t"), F.col("x.side").alias("side"), F.expr(asked).alias("need"))
     # Sets of equal size meet twice at a token, which only makes the count a weaker bound.
     counted = pairs.groupBy(*ends).agg(F.count("*").alias("met"), F.min("need").alias("need"))
     return counted.where("met >= need").select("a", "b")
@@ -369,11 +365,12 @@ def _heads(plan: Plan) -> list[str]:
     return [f"head{k}" for k in range(1, plan.orders)]
 
 
-def _flat(column, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _flat(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary column in rows of ``width``, and how many rows each value has."""
-    values = column.to_pylist()
-    size = np.fromiter((len(v) // width for v in values), np.int64, len(values))
-    return np.frombuffer(b"".join(values), np.uint8).reshape(-1, width), size
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8, int(bounds[-1] - bounds[0]), int(bounds[0])) if data and bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
+    return raw.reshape(-1, width), np.diff(bounds) // width
 
 
 def _meet_heads(pairs: DataFrame, plan: Plan) -> DataFrame:
@@ -393,8 +390,11 @@ def _meet_heads(pairs: DataFrame, plan: Plan) -> DataFrame:
                     rank = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
                     inside = rank <= (total - least)[owner]
                     keys.append(owner[inside] << 16 | raw.copy().view(np.uint16).ravel()[inside].astype(np.int64))
+                # tokens of one side that share their 16 bits count once, so that only the other side repeats them
+                both = np.concatenate([np.unique(k) for k in keys])
+                both.sort()
                 met = np.zeros(len(alive), bool)
-                met[np.intersect1d(*keys) >> 16] = True
+                met[both[1:][both[1:] == both[:-1]] >> 16] = True
                 alive &= met
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(alive))
 
