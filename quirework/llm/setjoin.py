@@ -384,17 +384,16 @@ def _meet_heads(pairs: DataFrame, plan: Plan) -> DataFrame:
             least, alive = plan.overlap(n, m), np.ones(batch.num_rows, bool)
             for k in range(plan.orders - 1):
                 keys = []
-                for total, column in ((n, 4 + 2 * k), (m, 5 + 2 * k)):
+                for side, (total, column) in enumerate(((n, 4 + 2 * k), (m, 5 + 2 * k))):
                     raw, size = _flat(batch.column(column), 2)
                     owner = np.repeat(np.arange(len(size)), size)
                     rank = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
                     inside = rank <= (total - least)[owner]
-                    keys.append(owner[inside] << 16 | raw.copy().view(np.uint16).ravel()[inside].astype(np.int64))
-                # tokens of one side that share their 16 bits count once, so that only the other side repeats them
-                both = np.concatenate([np.unique(k) for k in keys])
+                    keys.append((owner[inside] << 17).astype(np.uint32) | raw.copy().view(np.uint16).ravel()[inside].astype(np.uint32) << np.uint32(1) | np.uint32(side))
+                both = np.concatenate(keys)  # row, token and side make one sort key; neighbours that differ by the side alone meet
                 both.sort()
                 met = np.zeros(len(alive), bool)
-                met[both[1:][both[1:] == both[:-1]] >> 16] = True
+                met[both[1:][both[1:] ^ both[:-1] == 1] >> np.uint32(17)] = True
                 alive &= met
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(alive))
 
