@@ -243,5 +243,16 @@ g AS (
   FROM (SELECT side, id, ws, unnest(range(1, len(ws) - 8)) AS s FROM w WHERE len(ws) >= 10)),
 hit AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.gram = i.gram AND d.side = 'd' AND i.side = 'i')
 """
+#: Runs of matching grams on a diagonal; a run of k grams is a passage of k + 9 words.
+P8_ITEMS_SQL = """
+WITH w AS (
+  SELECT 'd' AS side, doc_id AS id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS ws FROM documents
+  UNION ALL
+  SELECT DISTINCT 'i', item_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) FROM eval_items),
+g AS (SELECT side, id, s, array_to_string(list_slice(ws, s, s + 9), ' ') AS gram FROM (SELECT side, id, ws, unnest(range(1, len(ws) - 8)) AS s FROM w WHERE len(ws) >= 10)),
+m AS (SELECT d.id AS doc_id, i.id AS item_id, d.s, d.s - i.s AS diagonal FROM g d JOIN g i ON d.gram = i.gram AND d.side = 'd' AND i.side = 'i'),
+r AS (SELECT *, s - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY s) AS run FROM m),
+l AS (SELECT doc_id, item_id, count(*) + 9 AS n FROM r GROUP BY doc_id, item_id, diagonal, run)
+SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(n)::INT AS longest FROM l GROUP BY 1"""
 P8_FOUND_SQL = _GRAMS + "SELECT doc_id, item_id FROM hit"
 P8_CLEAN_SQL = _GRAMS + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)"

@@ -119,6 +119,28 @@ def p4_found(spark, sf_dir: str) -> DataFrame:
     return made.where("piece_no = 1").select("item_kind", "item_id").distinct()
 
 
+def p4_check(spark, sf_dir: str) -> DataFrame:
+    """``item_kind, item_id, signs, equal, bounded, covered``: of each oversized text its length, and whether every piece is its stretch of
+    the text, no longer than the limit, and begins after the piece before and no later than its end, from the first
+    sign to the last but for white space."""
+    items = pages_and_chunks(spark, sf_dir).where(F.length("text") > LIMIT).dropDuplicates(["item_kind", "item_id"])
+    keys = ["item_kind", "item_id"]
+    listed = F.array_sort(F.collect_list(F.struct("piece_no", "start_pos", "end_pos", "piece"))).alias("p")
+    made = split_oversized(items, keys).groupBy(*keys).agg(listed).join(items, keys)
+    equal = F.forall("p", lambda x: F.substring(F.col("text"), x["start_pos"] + 1, x["end_pos"] - x["start_pos"]) == x["piece"])
+    bounded = F.forall("p", lambda x: (F.length(x["piece"]) <= LIMIT) & (F.length(x["piece"]) > 0))
+    blank = lambda a, b: F.substring(F.col("text"), a + 1, b - a).rlike(r"(?U)^[\s\x1c-\x1f]*$")
+    follows = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda k: (F.get("p", k)["start_pos"] > F.get("p", k - 1)["start_pos"]) & (F.get("p", k)["start_pos"] >= F.get("p", k - 1)["end_pos"] - OVERLAP) & blank(F.get("p", k - 1)["end_pos"], F.get("p", k)["start_pos"]))
+    covered = F.when(F.size("p") > 1, follows).otherwise(True) & blank(F.lit(0), F.get("p", F.lit(0))["start_pos"]) & blank(F.element_at("p", -1)["end_pos"], F.length("text"))
+    return made.select(*keys, F.length("text").alias("signs"), equal.alias("equal"), bounded.alias("bounded"), covered.alias("covered"))
+
+
+P4_CHECK_SQL = """
+SELECT item_kind, item_id, any_value(length(text))::INT AS signs, true AS equal, true AS bounded, true AS covered FROM (
+  SELECT 'page' AS item_kind, page_seq AS item_id, text FROM pdf_pages
+  UNION ALL SELECT 'chunk', chunk_seq, text FROM chunks) t
+WHERE length(text) > 2400 GROUP BY 1, 2
+"""
 P4_FOUND_SQL = """
 SELECT DISTINCT item_kind, item_id FROM (
   SELECT 'page' AS item_kind, page_seq AS item_id, text FROM pdf_pages

@@ -25,6 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quirework.llm.boosting import Boosted, best_threshold, calibrate
 from quirework.llm.common import pages_and_chunks
@@ -590,5 +591,26 @@ def p6_found(spark, sf_dir: str) -> DataFrame:
     return find_personal(pages_and_chunks(spark, sf_dir), ["item_kind", "item_id"])
 
 
+def p6_check(spark, sf_dir: str) -> DataFrame:
+    """``item_kind, item_id, kept``: whether the text between the placeholders of each redacted item stands in its text, in order, with
+    nothing but the redacted pieces left out. One row for each item with a text."""
+    keys = ["item_kind", "item_id"]
+    items = pages_and_chunks(spark, sf_dir).where("text IS NOT NULL").dropDuplicates(keys)
+    found = find_personal(items, keys).groupBy(*keys).agg(F.sort_array(F.collect_set(F.length("pii_text"))).alias("sizes"))
+    both = redact_personal(items.withColumn("whole", F.col("text")), [*keys, "whole"]).join(found, keys, "left")
+    mark = r"\[(?:EMAIL|PHONE|ID|ADDRESS|NAME)\]"
+    kinds = F.coalesce(F.size("sizes"), F.lit(0))
+    quoted = F.concat(F.lit("\\Q"), F.regexp_replace("text", mark, "\\\\E(?s:.+?)\\\\Q"), F.lit("\\E"))
+    kept = F.when(kinds <= 0, F.col("text") == F.col("whole")).otherwise(F.expr("whole RLIKE concat('^', q, '$')"))
+    return both.withColumn("q", quoted).select(*keys, kept.alias("kept"))
+
+
+P6_CHECK_SQL = """
+SELECT DISTINCT item_kind, item_id, true AS kept FROM (
+  SELECT 'page' AS item_kind, page_seq AS item_id, text FROM pdf_pages
+  UNION ALL SELECT 'chunk', chunk_seq, text FROM chunks) t WHERE text IS NOT NULL
+"""
+
+
 def p6_redacted(spark, sf_dir: str) -> DataFrame:
     return redact_personal(pages_and_chunks(spark, sf_dir), ["item_kind", "item_id"]).distinct()

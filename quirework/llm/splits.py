@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.components import connected_components
-from quirework.session import cut_lineage, shared_dir
+from quirework.session import cut_lineage, run_dir
 
 RATIOS = {"train": 0.8, "val": 0.1, "test": 0.1}
 #: A new component with more than this share of all records is placed by itself; there are at most
@@ -141,26 +141,31 @@ def _fill(new: DataFrame, held: dict[str, int], ratios: dict[str, float], total:
 
 
 def assign_splits(records: DataFrame, source_docs: DataFrame, *, state: DataFrame | None = None, ratios: dict[str, float] | None = None) -> DataFrame:
-    """The persisted table after a batch: ``node, root, split, status``.
+    """The persisted table after a batch: ``node, root, split, status, weight``.
 
-    ``records`` are all records whose documents are to be placed (``record_seq, source_doc``), ``source_docs``
-    those of the batch, ``state`` the table that the last call returned. ``status`` is ``kept``, ``new`` or
-    ``quarantined`` (then ``split`` is null).
+    ``records`` are the records of the batch (``record_seq, source_doc``) and ``source_docs`` its documents; ``state`` is
+    the table that the last call returned, whose ``weight`` holds the records that were counted before. A record
+    delivered twice counts once within a batch. ``status`` is ``kept``, ``new`` or ``quarantined`` (then ``split`` is null).
+
+    Links are walked, and records counted, for the batch alone. Of the table, the nodes that the batch names are looked
+    up and its rows are carried over in one pass.
     """
     ratios = ratios or RATIOS
     docs = records.where("source_doc IS NOT NULL").select("record_seq", F.concat(F.lit("d:"), document_key(F.col("source_doc"))).alias("node"))
-    weights = cut_lineage(docs.distinct().groupBy("node").agg(F.count("*").alias("weight")))
-    edges = link_edges(source_docs).unionByName(weights.select(F.col("node").alias("src"), F.col("node").alias("dst")))
+    counted = cut_lineage(docs.distinct().groupBy("node").agg(F.count("*").alias("__added")))
+    named = counted.select("node") if state is None else counted.select("node").join(state.select("node"), "node", "left_anti")
+    edges = link_edges(source_docs).unionByName(named.select(F.col("node").alias("src"), F.col("node").alias("dst")))
     nodes = update_components(edges, None if state is None else state.select("node", "root"))
     if state is not None:
         old = state.groupBy(F.col("root").alias("old_root")).agg(F.max("split").alias("__split"), F.max((F.col("status") == "quarantined").cast("int")).alias("__bad"))
-        nodes = nodes.join(old, "old_root", "left")
+        nodes = nodes.join(old, "old_root", "left").join(state.select("node", F.col("weight").alias("__held")), "node", "left")
     else:
-        nodes = nodes.withColumns({"__split": F.lit(None).cast("string"), "__bad": F.lit(0)})
-    weighed = nodes.join(weights, "node", "left")
+        nodes = nodes.withColumns({"__split": F.lit(None).cast("string"), "__bad": F.lit(0), "__held": F.lit(0).cast("long")})
+    weighed = nodes.join(counted, "node", "left").withColumn("weight", F.coalesce("__held", F.lit(0)) + F.coalesce("__added", F.lit(0)))
+    weighed = cut_lineage(weighed.select("node", "root", "__split", "__bad", "weight"))
     roots = cut_lineage(
         weighed.groupBy("root").agg(
-            F.coalesce(F.sum("weight"), F.lit(0)).alias("weight"), F.min("__split").alias("low"), F.max("__split").alias("high"), F.coalesce(F.max("__bad"), F.lit(0)).alias("bad")
+            F.sum("weight").alias("weight"), F.min("__split").alias("low"), F.max("__split").alias("high"), F.coalesce(F.max("__bad"), F.lit(0)).alias("bad")
         )
     )
     conflict = (F.col("bad") == 1) | (F.col("low") != F.col("high"))
@@ -170,7 +175,7 @@ def assign_splits(records: DataFrame, source_docs: DataFrame, *, state: DataFram
     filled = _fill(roots.where("low IS NULL AND bad = 0").select("root", "weight"), held, ratios, total)
     status = F.when(F.coalesce(conflict, F.lit(False)), "quarantined").when(F.col("low").isNotNull(), "kept").otherwise("new")
     placed = roots.join(filled, "root", "left").select("root", F.when(~F.coalesce(conflict, F.lit(False)), F.coalesce("low", "split")).alias("split"), status.alias("status"))
-    return nodes.select("node", "root").join(placed, "root").select("node", "root", "split", "status")
+    return weighed.select("node", "root", "weight").join(placed, "root").select("node", "root", "split", "status", "weight")
 
 
 def _versions(spark, path: str) -> tuple:
@@ -237,7 +242,7 @@ def _tables(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
     records, docs = _tables(spark, sf_dir)
-    path = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/components-{uuid.uuid4().hex}"
     for batch in arrivals(docs):
         nodes = add_documents(batch, path)
     return group_documents(records, nodes)
@@ -246,3 +251,25 @@ def p1_found(spark, sf_dir: str) -> DataFrame:
 def p1_splits(spark, sf_dir: str) -> DataFrame:
     records, docs = _tables(spark, sf_dir)
     return place_records(records, assign_splits(records, docs))
+
+
+def p1_check(spark, sf_dir: str) -> DataFrame:
+    """``name, ok``: whether every record of a document has a split, no group of ``p1_found`` is in two of them, and the share of each is
+    within the largest group's share, or 0.02, of what is wanted."""
+    records, docs = _tables(spark, sf_dir)
+    placed = cut_lineage(place_records(records, assign_splits(records, docs)))
+    groups = p1_found(spark, sf_dir)
+    named = records.select("record_seq", "source_doc").distinct().join(placed, "record_seq").join(groups, "source_doc", "left").withColumn("group", F.coalesce("group_doc", "source_doc"))
+    whole = named.where("group IS NOT NULL").groupBy("group").agg(F.count_distinct("split").alias("splits"), F.count("*").alias("n"))
+    torn = whole.agg((F.coalesce(F.max("splits"), F.lit(1)) <= 1).alias("ok"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+    shares = placed.where("split IS NOT NULL").groupBy().pivot("split", list(RATIOS)).count().crossJoin(F.broadcast(torn))
+    total = sum((F.coalesce(F.col(s), F.lit(0)) for s in RATIOS), F.lit(0))
+    near = F.lit(True)
+    for s, ratio in RATIOS.items():
+        near = near & (F.abs(F.coalesce(F.col(s), F.lit(0)) / total - ratio) <= F.greatest(F.lit(0.02), F.col("largest") / total))
+    lost = placed.where("split IS NULL AND status <> 'no_document'").agg((F.count("*") == 0).alias("ok"))
+    found = [torn.select(F.lit("groups_whole").alias("name"), "ok"), shares.select(F.lit("shares_near").alias("name"), near.alias("ok")), lost.select(F.lit("all_placed").alias("name"), "ok")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+P1_CHECK_SQL = "SELECT name, true AS ok FROM (VALUES ('groups_whole'), ('shares_near'), ('all_placed')) v(name)"
