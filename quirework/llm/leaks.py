@@ -11,7 +11,8 @@ repeated documents each count under their own id; an item delivered twice counts
 than a shard is cut into windows that overlap by the longest item, which loses no match; empty tables give
 no rows.
 
-The items are a stated query set against all rows: they are sent in blocks of bounded size.
+The items are a stated query set against all rows: they are sent in blocks of bounded size, and each shard's array is
+built once and searched for all blocks.
 """
 
 from __future__ import annotations
@@ -83,22 +84,29 @@ def _bound(prefix: np.ndarray, flat: np.ndarray, order: np.ndarray, upper: bool)
     return lo
 
 
-def search_shard(docs: list[np.ndarray], items: Items, min_words: int) -> Iterator[tuple[np.ndarray, ...]]:
+class Shard:
+    """Documents as one array of ranks with its suffix array, built once for all items."""
+
+    def __init__(self, docs: list[np.ndarray], depth: int):
+        self.lengths = np.array([len(d) for d in docs], np.int64)
+        text = np.concatenate([x for d in docs for x in (d, np.zeros(1, np.int64))])
+        real = np.ones(len(text), bool)
+        self.ends = np.cumsum(self.lengths + 1)
+        real[self.ends - 1] = False
+        self.known = np.unique(text[real])
+        self.flat = np.zeros(len(text) + depth + 1, np.int64)
+        self.flat[: len(text)][real] = 2 * (np.searchsorted(self.known, text[real]) + 1)
+        self.order = suffix_array(self.flat[: len(text)], depth)
+
+
+def search_shard(shard: Shard, items: Items, min_words: int, extend_rows: int = EXTEND_ROWS) -> Iterator[tuple[np.ndarray, ...]]:
     """``doc index, item index, words, word of the document, word of the item`` of left-maximal matches."""
-    lengths = np.array([len(d) for d in docs], np.int64)
-    if not len(items.at) or lengths.sum() < min_words:
+    if not len(items.at) or not len(shard.known):
         return
-    text = np.concatenate([x for d in docs for x in (d, np.zeros(1, np.int64))])
-    real = np.ones(len(text), bool)
-    ends = np.cumsum(lengths + 1)
-    real[ends - 1] = False
-    known = np.unique(text[real])
-    flat = np.zeros(len(text) + items.depth + 1, np.int64)
-    flat[: len(text)][real] = 2 * (np.searchsorted(known, text[real]) + 1)
+    flat, order, known, lengths, ends = shard.flat, shard.order, shard.known, shard.lengths, shard.ends
     near = np.searchsorted(known, items.tokens)
     hit = (near < len(known)) & (known[np.minimum(near, len(known) - 1)] == items.tokens)
     query = np.where(hit, 2 * (near + 1), 2 * near + 1)
-    order = suffix_array(flat[: len(text)], items.depth)
     whole = np.concatenate([[0], np.cumsum(hit)])
     live = np.flatnonzero(whole[items.at + min_words] - whole[items.at] == min_words)
     if not len(live):
@@ -109,9 +117,9 @@ def search_shard(docs: list[np.ndarray], items: Items, min_words: int) -> Iterat
     counts = hi - lo
     block = 0
     while block < len(live):
-        stop = max(block + 1, int(np.searchsorted(np.cumsum(counts[block:]), EXTEND_ROWS)) + block)
-        for shift in range(0, int(counts[block:stop].max()), EXTEND_ROWS):
-            size = np.clip(counts[block:stop] - shift, 0, EXTEND_ROWS)
+        stop = max(block + 1, int(np.searchsorted(np.cumsum(counts[block:]), extend_rows)) + block)
+        for shift in range(0, int(counts[block:stop].max()), extend_rows):
+            size = np.clip(counts[block:stop] - shift, 0, extend_rows)
             which = np.repeat(live[block:stop], size)
             inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             pos = order[np.repeat(lo[block:stop] + shift, size) + inner]
@@ -132,21 +140,24 @@ def search_shard(docs: list[np.ndarray], items: Items, min_words: int) -> Iterat
         block = stop
 
 
-def _best(found: Iterator[tuple[np.ndarray, ...]]) -> dict[tuple[int, int], tuple[int, int, int]]:
-    """The longest match of each document and item, the first of equals."""
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+def _best(found: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """The longest match of each document and item, the first of equals; columns as they come."""
+    best = tuple(np.zeros(0, np.int64) for _ in range(5))
     for columns in found:
-        for doc, item, n, at_doc, at_item in zip(*(c.tolist() for c in columns)):
-            new = (n, -at_doc, -at_item)
-            if new > best.get((doc, item), (0, 0, 0)):
-                best[doc, item] = new
+        doc, item, n, at_doc, at_item = (np.concatenate(pair) for pair in zip(best, columns))
+        order = np.lexsort((at_item, at_doc, -n, item, doc))
+        doc, item = doc[order], item[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+        kept = order[first]
+        best = (doc[first], item[first], n[kept], at_doc[kept], at_item[kept])
     return best
 
 
-def _blocks(items: DataFrame, item_id: str, min_words: int) -> Iterator[Items]:
+def _blocks(items: DataFrame, item_id: str, min_words: int, block_words: int) -> Iterator[Items]:
     ids, tokens, held = [], [], 0
     for row in items.toLocalIterator():
-        if held + len(row["__words"]) > BLOCK_WORDS and ids:
+        if held + len(row["__words"]) > block_words and ids:
             yield Items(ids, tokens, min_words)
             ids, tokens, held = [], [], 0
         ids.append(row[item_id])
@@ -156,7 +167,7 @@ def _blocks(items: DataFrame, item_id: str, min_words: int) -> Iterator[Items]:
         yield Items(ids, tokens, min_words)
 
 
-def find_leaks(corpus: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def find_leaks(corpus: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", min_words: int = MIN_WORDS, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, extend_rows: int = EXTEND_ROWS) -> DataFrame:
     """``doc_id, item_id, match_words, doc_word, item_word``: the longest verbatim match of each document
     with each item that shares at least ``min_words`` consecutive words, and where it begins in both."""
     spark = corpus.sparkSession
@@ -164,47 +175,47 @@ def find_leaks(corpus: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", i
     docs = hashed(corpus, doc_id)
     id_type, item_type = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"`{doc_id}` {id_type}, `{item_id}` {item_type}, match_words int, doc_word int, item_word int"
-    result = spark.createDataFrame([], schema)
-
-    for block in _blocks(hashed(items.dropDuplicates([item_id]), item_id), item_id, min_words):
-        sent = spark.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            stated = sent.value
-            width = max(SHARD_WORDS, 4 * stated.depth)
-            ids: list = []
-            parts: list[np.ndarray] = []
-            shifts: list[int] = []
-            held = 0
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                best = _best(search_shard(parts, stated, min_words))
-                if best:
-                    rows = [(ids[d], stated.ids[i], n, shifts[d] - a, -b) for (d, i), (n, a, b) in best.items()]
-                    columns = list(zip(*rows))
-                    types = [kinds[0], pa.array(stated.ids).type, pa.int32(), pa.int32(), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [doc_id, item_id, "match_words", "doc_word", "item_word"])
-
-            for batch in batches:
-                kinds = [batch.column(0).type]
-                lists = batch.column(1)
-                offsets = lists.offsets.to_numpy()
-                values = lists.values.to_numpy(zero_copy_only=False)
-                for k, key in enumerate(batch.column(0).to_pylist()):
-                    own = values[offsets[k] : offsets[k + 1]]
-                    for a in range(0, max(1, len(own) - stated.depth), width - stated.depth):
-                        part = own[a : a + width]
-                        if held + len(part) > width and parts:
-                            yield from flush()
-                            ids, parts, shifts, held = [], [], [], 0
-                        ids.append(key)
-                        parts.append(part)
-                        shifts.append(a)
-                        held += len(part)
-            if parts:
-                yield from flush()
-
-        result = result.unionByName(docs.mapInArrow(search, schema))
+    sent, depth = [], 0
+    for block in _blocks(hashed(items.dropDuplicates([item_id]), item_id), item_id, min_words, block_words):
+        sent.append(spark.sparkContext.broadcast(block))
+        depth = max(depth, block.depth)
+    width = max(shard_words, 4 * depth)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        parts: list[np.ndarray] = []
+        shifts: list[int] = []
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            shard = Shard(parts, depth)
+            for block in sent:
+                doc, item, n, at_doc, at_item = _best(search_shard(shard, block.value, min_words, extend_rows))
+                if len(doc):
+                    own = pa.array(block.value.ids)
+                    columns = [pa.array(ids, kinds[0]).take(pa.array(doc)), own.take(pa.array(item)), *(pa.array(c.astype(np.int32)) for c in (n, np.array(shifts)[doc] + at_doc, at_item))]
+                    yield pa.RecordBatch.from_arrays(columns, [doc_id, item_id, "match_words", "doc_word", "item_word"])
+
+        for batch in batches:
+            kinds = [batch.column(0).type]
+            lists = batch.column(1)
+            offsets = lists.offsets.to_numpy()
+            values = lists.values.to_numpy(zero_copy_only=False)
+            for k, key in enumerate(batch.column(0).to_pylist()):
+                own = values[offsets[k] : offsets[k + 1]]
+                for a in range(0, max(1, len(own) - depth), width - depth):
+                    part = own[a : a + width]
+                    if held + len(part) > width and parts:
+                        yield from flush()
+                        ids, parts, shifts, held = [], [], [], 0
+                    ids.append(key)
+                    parts.append(part)
+                    shifts.append(a)
+                    held += len(part)
+        if parts:
+            yield from flush()
+
+    result = docs.mapInArrow(search, schema) if depth else spark.createDataFrame([], schema)
     best = F.max(F.struct("match_words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i")))
     return result.groupBy(doc_id, item_id).agg(best.alias("m")).select(doc_id, item_id, "m.match_words", (-F.col("m.d")).alias("doc_word"), (-F.col("m.i")).alias("item_word"))
 

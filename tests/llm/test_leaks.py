@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from quirework.llm import leaks
 
@@ -22,7 +23,8 @@ def test_suffix_array_order():
     assert all(tuple(tokens[a:]) <= tuple(tokens[b:]) for a, b in zip(order, order[1:]))
 
 
-def test_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("sizes", [{}, {"shard_words": 50, "block_words": 40, "extend_rows": 3}])
+def test_against_brute_force(spark, sizes):
     rng = random.Random(3)
     vocab = [f"w{k}" for k in range(6)]
     docs = {k: [rng.choice(vocab) for _ in range(rng.randrange(0, 60))] for k in range(60)}
@@ -30,7 +32,7 @@ def test_against_brute_force(spark, monkeypatch):
     docs[60] = docs[59] + items[3] + docs[58]
     docs[61] = items[4] * 40
     frame = lambda d, c: spark.createDataFrame([(k, " ".join(w).upper() + "!") for k, w in d.items()], f"{c} long, text string")
-    got = {(r.doc_id, r.item_id): r for r in leaks.find_leaks(frame(docs, "doc_id").coalesce(1), frame(items, "item_id"), min_words=5).collect()}
+    got = {(r.doc_id, r.item_id): r for r in leaks.find_leaks(frame(docs, "doc_id").coalesce(1), frame(items, "item_id"), min_words=5, **sizes).collect()}
     assert set(got) == brute(docs, items, 5)
     for (d, i), r in got.items():
         assert r.match_words == longest(docs[d], items[i])
@@ -41,8 +43,9 @@ def test_small_shards_and_blocks_lose_nothing():
     rng = random.Random(4)
     docs = [np.array([rng.randrange(1, 5) for _ in range(300)], np.int64) for _ in range(5)]
     items = leaks.Items([7, 8], [docs[1][40:60].copy(), docs[3][:12].copy()], 10)
-    found = leaks._best(leaks.search_shard(docs, items, 10))
-    assert found[1, 0][0] == 20 and found[3, 1][0] == 12
+    found = leaks._best(leaks.search_shard(leaks.Shard(docs, items.depth), items, 10, 2))
+    best = {(d, i): n for d, i, n in zip(*(c.tolist() for c in found[:3]))}
+    assert best[1, 0] == 20 and best[3, 1] == 12
 
 
 def test_defined_cases(spark):
