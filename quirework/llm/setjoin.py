@@ -238,13 +238,14 @@ def _marked(plan: Plan) -> list[str]:
 
 
 def _prefix_rows(rows: DataFrame, plan: Plan, classes, rare_class: int) -> DataFrame:
-    """One row for each join key of each set: its set, size, frequent tokens, position, signatures and marks.
+    """One row for each join key of each set: its set, signatures, marks, and packed into two numbers its size and position (``at``)
+    and its frequent tokens, role and side (``kind``).
 
     Keys of several tokens leave few candidates, so with them (depth over 1) rows carry less: no second signature,
     and none where the key is a rare token. An empty signature rules nothing out.
     """
     sent = rows.sparkSession.sparkContext.broadcast(classes)
-    names = ["role", "side", "key", "set", "n", "pos", "freq", "sig", "sig2", *_marked(plan)]
+    names = ["key", "set", "at", "kind", "sig", "sig2", *_marked(plan)]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -263,14 +264,14 @@ def _prefix_rows(rows: DataFrame, plan: Plan, classes, rare_class: int) -> DataF
             marks = _marks(sets, plan) if plan.depth > 1 else []
             for role, key, owner, position in _keys(sets, plan, rare, fresh):
                 if len(key):
+                    at, kind = sets.size[owner] << 32 | position, frequent[owner].astype(np.int64) << 8 | role << 4 | sets.side[owner].astype(np.int64)
                     columns = [
-                        pa.array(np.full(len(key), role, np.int8)), pa.array(sets.side[owner].astype(np.int8)), pa.array((key & LOW48).view(np.int64)), pa.array(sets.key[owner]),
-                        pa.array(sets.size[owner].astype(np.int32)), pa.array(position.astype(np.int32)), pa.array(frequent[owner]), pa.array(one[owner] * np.int64(role > 0 or plan.depth == 1)), pa.array(two[owner] * np.int64(role > 0 and plan.depth == 1)),
+                        pa.array((key & LOW48).view(np.int64)), pa.array(sets.key[owner]), pa.array(at), pa.array(kind), pa.array(one[owner] * np.int64(role > 0 or plan.depth == 1)), pa.array(two[owner] * np.int64(role > 0 and plan.depth == 1)),
                         *(pa.array(m[owner]) for m in marks),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(emit, "role byte, side byte, key long, set long, n int, pos int, freq int, sig long, sig2 long" + "".join(f", {m} long" for m in _marked(plan)))
+    return rows.mapInArrow(emit, "key long, set long, at long, kind long, sig long, sig2 long" + "".join(f", {m} long" for m in _marked(plan)))
 
 
 def _candidates(prefixes: DataFrame, plan: Plan, two_sides: bool) -> DataFrame:
@@ -282,24 +283,28 @@ def _candidates(prefixes: DataFrame, plan: Plan, two_sides: bool) -> DataFrame:
     each of them (role 0), so their number is counted; all other pairs (roles 1 and 2) must miss nothing.
     """
     num, den = plan.threshold.numerator, plan.threshold.denominator
-    columns = ["key", "set", "role", "side", "n", "pos", "freq", "sig", "sig2", *_marked(plan)]
+    columns = ["key", "set", "at", "kind", "sig", "sig2", *_marked(plan)]
+    role, part = F.shiftright("kind", 4).bitwiseAND(15), F.col("kind").bitwiseAND(255)
     # One exchange that is read once for either end of the join: the random term keeps the filters above it. Keys of roles
     # and sides that do not meet differ, so that one join serves all.
-    shuffled = prefixes.withColumn("key", F.xxhash64("key", F.when(F.col("role") == 0, -1).otherwise((F.col("role") + F.col("side")) % 2 if two_sides else 0))).repartition("key")
-    shuffled = shuffled.withColumn("part", F.col("role") * 2 + F.col("side") + (F.rand(1) * 0).cast("int"))
+    code = (role + F.col("kind").bitwiseAND(15)) % 2 if two_sides else F.lit(0)
+    shuffled = prefixes.withColumn("key", F.xxhash64("key", F.when(role == 0, -1).otherwise(code))).repartition("key")
+    shuffled = shuffled.withColumn("part", part + (F.rand(1) * 0).cast("int"))
 
     def end(*parts: tuple[int, int]) -> DataFrame:
         """Copies of a set that several tasks sent become one here, on the partitioning that the join needs."""
-        return shuffled.where(F.col("part").isin([role * 2 + side for role, side in parts])).dropDuplicates(["key", "set"]).select(*columns)
-
-    least = f"((({num} * (x.n + y.n) + {num + den - 1}) div {num + den}))"
-    depth = f"(CASE WHEN x.n > {plan.combined_up_to} OR y.n > {plan.combined_up_to} THEN 1 ELSE {plan.depth} END)"
-    lacks = lambda s, t: f"({s}.freq - bit_count({s}.sig & ~{t}.sig) - bit_count({s}.sig2 & ~{t}.sig2))"
-    beyond = lambda s: f"greatest(0, {least} - {depth} - {s}.freq)"  # rare tokens after the prefix of this pair
+        return shuffled.where(F.col("part").isin([role * 16 + side for role, side in parts])).dropDuplicates(["key", "set"]).select(*columns)
+
+    n, pos, freq = (lambda s, f=f: f.replace("$", s) for f in ("shiftright($.at, 32)", "($.at & 4294967295)", "shiftright($.kind, 8)"))
+    rare = "(shiftright(x.kind, 4) & 15) = 0"
+    least = f"((({num} * ({n('x')} + {n('y')}) + {num + den - 1}) div {num + den}))"
+    depth = f"(CASE WHEN {n('x')} > {plan.combined_up_to} OR {n('y')} > {plan.combined_up_to} THEN 1 ELSE {plan.depth} END)"
+    lacks = lambda s, t: f"({freq(s)} - bit_count({s}.sig & ~{t}.sig) - bit_count({s}.sig2 & ~{t}.sig2))"
+    beyond = lambda s: f"greatest(0, {least} - {depth} - {freq(s)})"  # rare tokens after the prefix of this pair
     need = f"{least} - least({lacks('x', 'y')}, {lacks('y', 'x')})"
-    near = f"x.n * {num} <= y.n * {den} AND y.n * {num} <= x.n * {den} AND least(x.n - x.pos, y.n - y.pos) + {depth} >= {least} AND x.set <> y.set"
+    near = f"{n('x')} * {num} <= {n('y')} * {den} AND {n('y')} * {num} <= {n('x')} * {den} AND least({n('x')} - {pos('x')}, {n('y')} - {pos('y')}) + {depth} >= {least} AND x.set <> y.set"
     near += "".join(f" AND (x.{m} & y.{m}) <> 0" for m in _marked(plan))
-    near += f" AND (x.n >= y.n{' OR x.role = 0' if two_sides else ''}) AND (x.role = 0 OR {need} <= 0)"
+    near += f" AND ({n('x')} >= {n('y')}{f' OR {rare}' if two_sides else ''}) AND ({rare} OR {need} <= 0)"
     if two_sides:
         left, right = end((0, 0), (1, 0), (1, 1)), end((0, 1), (2, 1), (2, 0))
         ends = [F.expr("if(side = 0, s, t)").alias("a"), F.expr("if(side = 0, t, s)").alias("b")]
@@ -307,8 +312,8 @@ def _candidates(prefixes: DataFrame, plan: Plan, two_sides: bool) -> DataFrame:
         left, right = end((0, 0), (1, 0)), end((0, 0), (2, 0))
         ends = [F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")]
     joined = left.alias("x").join(right.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(near))
-    asked = f"CASE WHEN x.role > 0 THEN 0 ELSE CAST(least({need} - {beyond('x')} - {beyond('y')}, 1000000) AS INT) END"
-    pairs = joined.select(F.col("x.set").alias("s"), F.col("y.set").alias("t"), F.col("x.side").alias("side"), F.expr(asked).alias("need"))
+    asked = f"CASE WHEN NOT {rare} THEN 0 ELSE CAST(least({need} - {beyond('x')} - {beyond('y')}, 1000000) AS INT) END"
+    pairs = joined.select(F.col("x.set").alias("s"), F.col("y.set").alias("t"), F.expr("x.kind & 15").alias("side"), F.expr(asked).alias("need"))
     # Sets of equal size meet twice at a token, which only makes the count a weaker bound.
     counted = pairs.groupBy(*ends).agg(F.count("*").alias("met"), F.min("need").alias("need"))
     return counted.where("met >= need").select("a", "b")
