@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quirework.config import RunConfig
 from quirework.functions import text as T
 from quirework.functions.tokens import Counter, word_counter
+from quirework.session import cut_lineage
 
 # Words that point at a passage, and the ways in which a question is led in.
 _NOUNS = "context|text|passage|document|snapshot|excerpt"
@@ -70,8 +71,9 @@ def row_checks(records: DataFrame, config: RunConfig = RunConfig(), count: Count
 
 
 def verdicts(records: DataFrame, config: RunConfig = RunConfig(), count: Counter = word_counter) -> DataFrame:
-    """``records`` with their stored fields, ``q_norm``, ``a_norm`` and ``reject_reason`` (null: accepted)."""
-    df = row_checks(records, config, count)
+    """``records`` with their stored fields, ``q_norm``, ``a_norm`` and ``reject_reason`` (null: accepted). The checked rows
+    are written once; claims and verdicts read them from there."""
+    df = cut_lineage(row_checks(records, config, count))
     # only keys that repeat and are claimed come back: few rows, mostly sent to all tasks by the adaptive plan
     claims = df.where("__early IS NULL").groupBy("q_norm", "a_norm").agg(F.min(F.when(F.col("__late").isNull(), F.col("record_seq"))).alias("__first"), F.count("*").alias("__n"))
     claims = claims.where("__n > 1 AND __first IS NOT NULL").select(F.col("q_norm").alias("__q"), F.col("a_norm").alias("__k"), "__first")
