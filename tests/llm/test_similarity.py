@@ -102,3 +102,22 @@ def test_hot_copies_stay_one_entity(spark):
     members, pairs = setjoin.similar_sets(neardup._rows(frame, "id", "text"), neardup.QUESTION)
     assert members.count() == 3000 and pairs.count() == 0
     assert Counter(r["count"] for r in members.groupBy("set").count().collect())[1000] == 1
+
+
+def test_prefix_rows_go_in_parts(spark, monkeypatch):
+    """At no time are more than some of the prefix rows on their way; every row is in one part, and the pairs are those of brute force."""
+    texts = corpus(3, 30)
+    frame = spark.createDataFrame(list(texts.items()), "id long, text string")
+    emit, sent, read = setjoin._prefix_rows, [], []
+
+    def counted(rows, plan, classes, rare, *parts):
+        out = emit(rows, plan, classes, rare, *parts)
+        sent.append(out.count())
+        read.append((emit(rows, plan, classes, rare).count(), rows.columns))
+        return out
+
+    monkeypatch.setattr(setjoin, "_prefix_rows", counted)
+    got = {tuple(r) for r in neardup.near_pairs(frame, "id", "text", neardup.CHUNK).collect()}
+    assert got == brute(texts, neardup.CHUNK) and got
+    assert sum(sent) == read[0][0] and max(sent) < 0.5 * sum(sent)
+    assert all(columns == ["id", "side", "tokens"] for _, columns in read)  # texts are not hashed again
