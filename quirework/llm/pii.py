@@ -18,7 +18,6 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -96,16 +95,22 @@ LABELS = "姓名|联系人|签名|签字|申请人|负责人|患者|收件人|
 TITLES = "السيد|السيدة|الدكتور|الدكتورة|الأستاذ|الأستاذة|المهندس|المهندسة|الاسم|מר|גברת|ד״ר|שם|श्री|श्रीमती|सुश्री|डॉ\\.|नाम|นางสาว|นาย|นาง|คุณ|ดร\\.|ชื่อ"
 #: Signs of scripts without case, which the generators for them need.
 CASELESS = re.compile(r"[\u0590-\u06ff\u0900-\u097f\u0e00-\u0e7f\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3]")
-#: What a text must hold (any of it) for a generator to be worth running.
+#: What a text must hold (any of it) for a generator to be worth running; what holds another entry is left out.
 NEEDS = {
-    3: "Street Avenue Road Lane Court Close Drive Boulevard Place Square Way Terrace Crescent Alley Row St Ave Rd Ln Ct Cl Dr Blvd Pl Sq Ter".split(), 4: "straße strasse str. gasse weg platz allee ring damm ufer steig straat laan plein gracht kade singel dreef gata gate veien vegen vägen torget gränd gade vej allé katu kuja utca Straße Strasse Gasse Weg Platz Allee".split(),
+    3: "Street Avenue Road Lane Court Close Drive Boulevard Place Square Way Terrace Crescent Alley Row St Ave Rd Ln Ct Cl Dr Blvd Pl Sq Ter".split(),
     5: "Calle Avenida Avda Paseo Plaza Camino Via Piazza Rua C/".split(), 6: "rue avenue boulevard bd place chemin impasse allée quai route cours".split(), 15: "ul. al. pl. ulica улица ул. проспект пр-т переулок пер. площадь пл. вул. οδός".split(),
 }
+NEEDS = {g: [w for w in words if not any(v != w and v in w for v in words)] for g, words in NEEDS.items()}
+#: The ends of the streets of generator 4, which stand right before a number.
+STREET_ENDS = tuple("straße strasse str. gasse weg platz allee ring damm ufer steig straat laan plein gracht kade singel dreef gata gaten gatan gate veien vegen vägen torget gränd gade vej allé katu kuja utca Straße Strasse Gasse Weg Platz Allee".split())
+NUMBER_AFTER = re.compile(r"\s{1,3}(?=\d)")
 #: Generators of names by capitals; they are tried where a capital word stands before another or before a particle. Those of
 #: the second group need capitals in a row.
 BY_CAPITALS, IN_CAPITALS = {7, 8, 9, 10, 11, 12, 13}, {10, 11, 12}
-ANCHOR = re.compile(rf"\b(?:{PAR}{S})?[{UP}][^\s,]*,?\s{{1,4}}(?=[{UP}]|{PAR}\s|VAN|VON|DE|DI|DA|DU)|(?<![\w.])[{UP}][{MARK}]*\.(?=[{UP}])")
-UPPER_RUN = re.compile(rf"[{UP}][{UP}{MARK}]{{3}}")
+ANCHOR, ANCHOR_ASCII = (
+    re.compile(rf"\b(?:{PAR}{S})?[{up}][^\s,]*,?\s{{1,4}}(?=[{up}]|{PAR}\s|VAN|VON|DE|DI|DA|DU)|(?<![\w.])[{up}]{marks}\.(?=[{up}])") for up, marks in ((UP, f"[{MARK}]*"), ("A-Z", ""))
+)
+UPPER_RUN, UPPER_ASCII = re.compile(rf"[{UP}][{UP}{MARK}]{{3}}"), re.compile("[A-Z]{4}")
 
 #: Type and pattern of each generator; the order numbers them.
 GENERATORS = [
@@ -157,7 +162,18 @@ def user_start(text: str, at: int) -> int:
 
 def _worth(text: str) -> list[int]:
     """The generators that can find something in ``text``, but for those of names by capitals."""
-    skip = {g for g, words in NEEDS.items() if not any(w in text for w in words)} | BY_CAPITALS
+    skip = set(BY_CAPITALS)
+    for g, words in NEEDS.items():
+        for w in words:
+            if w in text:
+                break
+        else:
+            skip.add(g)
+    for m in NUMBER_AFTER.finditer(text):
+        if text.endswith(STREET_ENDS, 0, m.start()):
+            break
+    else:
+        skip.add(4)
     low = text.lower()
     if "@" not in low and "dot" not in low and not any(f"at{blank}{close}" in low for blank in ("", " ") for close in ")]}>"):
         skip.add(0)
@@ -168,13 +184,17 @@ def _worth(text: str) -> list[int]:
 
 def _starts(text: str) -> tuple[list[int], bool]:
     """Where a name by capitals may begin, and whether capitals stand in a row."""
-    return [m.start() for m in ANCHOR.finditer(text)], bool(UPPER_RUN.search(text))
+    anchor, upper = (ANCHOR_ASCII, UPPER_ASCII) if text.isascii() else (ANCHOR, UPPER_RUN)
+    return [m.start() for m in anchor.finditer(text)], bool(upper.search(text))
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, int]]:
     """``(generator, start, end)`` of every proposed span."""
     for g in _worth(text):
         kind, pattern = GENERATORS[g]
+        if kind == "phone":
+            yield from _phones(text, g, pattern)
+            continue
         at = 0
         while m := pattern.search(text, at):
             a, b = m.span(m.lastindex or 0)
@@ -185,14 +205,6 @@ def candidates(text: str) -> Iterator[tuple[int, int, int]]:
                     continue
                 a, b = start, host.end()
                 at = b
-            elif kind == "phone":
-                digits = sum(c.isdigit() for c in m.group())
-                if not 7 <= digits <= 16:
-                    continue
-                if text[a] == "(" and ")" not in m.group():
-                    a += 1
-                while not text[b - 1].isdigit():
-                    b -= 1
             yield from _whole(text, g, a, b)
     starts, upper = _starts(text)
     free = dict.fromkeys(sorted(BY_CAPITALS if upper else BY_CAPITALS - IN_CAPITALS), 0)  # where each may go on
@@ -209,6 +221,18 @@ def candidates(text: str) -> Iterator[tuple[int, int, int]]:
             yield from _whole(text, g, at, m.end())
 
 
+def _phones(text: str, g: int, pattern: re.Pattern) -> Iterator[tuple[int, int, int]]:
+    for m in pattern.finditer(text):
+        a, b = m.span()
+        if b - a < 7 or not 7 <= sum(map(str.isdigit, m.group())) <= 16:
+            continue
+        if text[a] == "(" and ")" not in m.group():
+            a += 1
+        while not text[b - 1].isdigit():
+            b -= 1
+        yield from _whole(text, g, a, b)
+
+
 def _whole(text: str, g: int, a: int, b: int) -> Iterator[tuple[int, int, int]]:
     """A span with the mark of a decomposed last letter; none that crosses a blank line."""
     if m := MARKS.match(text, b):
@@ -252,24 +276,36 @@ def likeness(word: str) -> int:
 
 
 class Context:
-    """The words of a text, by which the words beside a span are found."""
+    """Finds the words beside a span of a text, runs of letters and digits that do not reach into it."""
 
     def __init__(self, text: str):
         self.text = text
-        spans = [m.span() for m in RUN.finditer(text)]
-        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def _inside(self, at: int) -> bool:
+        return 0 < at < len(self.text) and self.text[at - 1].isalnum() and self.text[at].isalnum()
+
+    def _word(self, at: int) -> tuple[int, int]:
+        """Start and end of the last word up to ``at``."""
+        text, end = self.text, at
+        while end and not text[end - 1].isalnum():
+            end -= 1
+        start = end
+        while start and text[start - 1].isalnum():
+            start -= 1
+        return start, end
 
     def before(self, at: int) -> tuple[str, str, str]:
         """The word that ends before ``at``, the word before it, and what lies between the first and ``at``."""
-        k = bisect_right(self.ends, at) - 1
-        if k < 0:
+        start, end = self._word(self._word(at)[0] if self._inside(at) else at)
+        if not end:
             return "", "", self.text[:at]
-        word = lambda j: self.text[self.starts[j] : self.ends[j]] if j >= 0 else ""
-        return word(k), word(k - 1), self.text[self.ends[k] : at]
+        return self.text[start:end], self.text[slice(*self._word(start))], self.text[end:at]
 
     def after(self, at: int) -> str:
-        k = bisect_left(self.starts, at)
-        return self.text[self.starts[k] : self.ends[k]] if k < len(self.starts) else ""
+        if self._inside(at):
+            at = RUN.match(self.text, at).end()
+        found = RUN.search(self.text, at)
+        return found.group() if found else ""
 
 
 def features(context: Context, g: int, a: int, b: int) -> list[int]:
@@ -278,7 +314,7 @@ def features(context: Context, g: int, a: int, b: int) -> list[int]:
     span, kind = text[a:b], GENERATORS[g][0]
     f = [0] * len(GENERATORS)
     f[g] = 1
-    digits = sum(c.isdigit() for c in span)
+    digits = sum(map(str.isdigit, span))
     sizes = [len(x) for x in DIGITS.findall(span)]
     words = WORD.findall(span)
     lowered = [w.lower().split("-")[0] for w in words]
@@ -291,7 +327,7 @@ def features(context: Context, g: int, a: int, b: int) -> list[int]:
     first = not prev and blank  # nothing but white space before the span
     f += [
         min(digits, 15), min(len(sizes), 15), "+" in span, span.startswith("00") and 2 or span.startswith("0") and 1 or 0, "(" in span,
-        ("-" in span) + 2 * ("." in span) + 4 * (" " in span) + 8 * ("/" in span), min(sum(c.isalpha() for c in span), 15), min((b - a) // 3, 15),
+        ("-" in span) + 2 * ("." in span) + 4 * (" " in span) + 8 * ("/" in span), min(sum(map(str.isalpha, span)), 15), min((b - a) // 3, 15),
         bool(given) and given[0], bool(given) and given[-1], any(given), min(len(words), 15), min(min(map(len, words), default=0), 15),
         _word_class(prev), _word_class(prev2), _word_class(nxt),
         0 if not char else 1 if char == "," else 2 if char in ".!?" else 3 if char == ";" else 4 if char in "()" else 5 if char == "-" else 6 if char.isspace() else 7,
